@@ -253,3 +253,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, most))
     return docs.select(tc.long_id().alias("doc_id"), "text").mapInArrow(_scores(model), "doc_id long, p_quality double, p_toxic double, keep boolean")
+
+
+def _keep(model, text_at: int):
+    def run(batches):
+        for batch in batches:
+            quality, toxic, words = model.value.score(batch.column(text_at))
+            yield batch.filter(pa.array((quality >= 0.5) & (toxic < 0.5) & (words > 0)))
+
+    return run
+
+
+def quality_stage(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """The rows of docs that quality_scores keeps, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, most))
+    return docs.mapInArrow(_keep(model, docs.columns.index("text")), docs.schema)

@@ -80,7 +80,7 @@ ORACLES = {
     # every 50 words of a document, those that two documents hold, and their unions
     "op1_substring_dedup": r"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), x -> x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), spans AS (
   SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM words WHERE len(w) >= 50)
 ), shared AS (

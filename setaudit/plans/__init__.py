@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from setaudit.plans import checks, verdicts
+
+QUERIES: dict = checks.QUERIES | verdicts.QUERIES
+ORACLES: dict = checks.ORACLES | verdicts.ORACLES

@@ -20,8 +20,8 @@ def is_blank(c: Column | str) -> Column:
 
 
 def passes(score: Column, threshold: float) -> Column:
-    """NaN fails; Spark alone would call it larger than any threshold."""
-    return F.when(F.isnan(score), False).otherwise(score >= F.lit(threshold))
+    """NaN fails, which Spark alone would call larger than any threshold, and so does null, which it becomes on its way from pandas."""
+    return F.when(score.isNull() | F.isnan(score), False).otherwise(score >= F.lit(threshold))
 
 
 def last_number(text: Column | str, marker: str = r"(?:ANSWER:|####)") -> Column:

@@ -1,4 +1,4 @@
-"""The rules: license, priority, keyword that any match holds (lower case), regular expression.
+"""The rules: license, priority, keyword that any match holds (lower case; several: any match holds one), regular expression.
 
 A space in an expression stands for white space and comment marks. Priorities: 90 SPDX tags, 80 texts that name a
 license with its version in full, 70 full names, 60 characteristic clauses, 50 addresses, 40 short names, 20 hints.
@@ -16,13 +16,13 @@ LGPL-2.0-only LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later LP
 NASA-1.3 NCSA NPL-1.1 ODbL-1.0 ODC-By-1.0 OFL-1.0 OFL-1.1 OpenSSL OSL-1.0 OSL-2.0 OSL-2.1 OSL-3.0 PDDL-1.0 PHP-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0
 RPL-1.5 RPSL-1.0 Ruby SISSL Sleepycat SPL-1.0 SSPL-1.0 TCL Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C Watcom-1.0 WTFPL X11 Xnet Zend-2.0 Zlib ZPL-2.0 ZPL-2.1""".split()
 
-RULES: list[tuple[str, int, str, str]] = [
+RULES: list[tuple[str, int, str | tuple[str, ...], str]] = [
     # named in full, with a version
     ("Apache-2.0", 80, "apache", r"\bapache (?:software )?licen[sc]e,? ?(?:\( ?the \"license\" ?\),? )?(?:version|v\.?) ?2(?:\.0)?\b(?!\.\d)"),
     ("Apache-2.0", 70, "apache", r"\bapache[- ](?:license[- ])?2\.0\b"),
     ("Apache-1.1", 80, "apache", r"\bapache (?:software )?licen[sc]e,? (?:version|v\.?) ?1\.1\b"),
     ("Apache-1.0", 80, "apache", r"\bapache (?:software )?licen[sc]e,? (?:version|v\.?) ?1\.0\b"),
-    ("MIT", 80, "mit license", _GRANT + r"mit licen[sc]e\b"),
+    ("MIT", 80, ("mit license", "mit licence"), _GRANT + r"mit licen[sc]e\b"),
     ("MIT", 70, "mit license", r"\b(?:the )?mit license\b"),
     ("MIT", 70, "mit licence", r"\b(?:the )?mit licence\b"),
     ("MIT", 70, "expat license", r"\bexpat license\b"),
@@ -84,7 +84,7 @@ RULES: list[tuple[str, int, str, str]] = [
     ("NCSA", 80, "ncsa", r"\b(?:university of illinois/)?ncsa open source licen[sc]e\b"),
     ("OFL-1.1", 80, "open font", r"\bsil open font licen[sc]e\b(?:,? version 1\.1)?"),
     ("PostgreSQL", 75, "postgresql licen", r"\bpostgresql licen[sc]e\b"),
-    ("Python-2.0", 75, "python software foundation", r"\b(?:python software foundation|psf) licen[sc]e\b(?: version 2)?"),
+    ("Python-2.0", 75, ("python software foundation", "psf licen"), r"\b(?:python software foundation|psf) licen[sc]e\b(?: version 2)?"),
     ("PHP-3.01", 75, "php license", r"\bphp license,? (?:version )?3\.01\b"),
     ("PHP", 65, "php license", r"\bphp license\b"),
     ("Ruby", 65, "ruby license", r"\bruby license\b"),
@@ -114,7 +114,7 @@ RULES: list[tuple[str, int, str, str]] = [
     ("PDDL-1.0", 80, "public domain dedication", r"\bopen data commons public domain dedication\b"),
     ("CDLA-Permissive-2.0", 80, "community data", r"\bcommunity data licen[sc]e agreement ?[-–]? ?permissive,? ?-? ?(?:version )?2\.0\b"),
     ("CDLA-Sharing-1.0", 80, "community data", r"\bcommunity data licen[sc]e agreement ?[-–]? ?sharing\b"),
-    ("OpenRAIL", 75, "openrail", r"\b(?:creativeml |bigscience )?open ?rail(?:[-+]{1,2}m)?(?: licen[sc]e)?\b"),
+    ("OpenRAIL", 75, ("openrail", "open rail"), r"\b(?:creativeml |bigscience )?open ?rail(?:[-+]{1,2}m)?(?: licen[sc]e)?\b"),
     ("OGL-UK-3.0", 80, "open government", r"\bopen government licen[sc]e,? ?(?:version|v\.?)? ?3(?:\.0)?\b"),
     ("OGL", 65, "open government", r"\bopen government licen[sc]e\b"),
     ("BSD-4-Clause", 80, "bsd", r"\b(?:4|four)[- ]clause bsd(?: licen[sc]e)?\b"),
@@ -143,8 +143,8 @@ RULES: list[tuple[str, int, str, str]] = [
     ("CC-BY-NC-ND-4.0", 86, "noncommercial-noderiv", r"\bcreative commons attribution-noncommercial-noderiv(?:ative)?s 4\.0\b"),
     ("CC-BY-NC-SA-4.0", 86, "noncommercial-sharealike", r"\bcreative commons attribution-noncommercial-sharealike 4\.0\b"),
     ("CC-BY-NC-4.0", 84, "attribution-noncommercial", r"\bcreative commons attribution-noncommercial 4\.0\b"),
-    ("CC-BY-SA-4.0", 84, "attribution-sharealike", r"\bcreative commons attribution-share-?alike 4\.0\b"),
-    ("CC-BY-SA-3.0", 84, "attribution-sharealike", r"\bcreative commons attribution-share-?alike 3\.0\b"),
+    ("CC-BY-SA-4.0", 84, ("attribution-sharealike", "attribution-share-alike"), r"\bcreative commons attribution-share-?alike 4\.0\b"),
+    ("CC-BY-SA-3.0", 84, ("attribution-sharealike", "attribution-share-alike"), r"\bcreative commons attribution-share-?alike 3\.0\b"),
     ("CC-BY-4.0", 82, "commons attribution", r"\bcreative commons attribution 4\.0\b"), ("CC-BY-3.0", 82, "commons attribution", r"\bcreative commons attribution 3\.0\b"),
     ("CC", 60, "creative commons", r"\bcreative commons (?:public )?licen[sc]e\b"),
     # addresses
@@ -191,9 +191,9 @@ RULES: list[tuple[str, int, str, str]] = [
     # hints
     ("Proprietary", 55, "all rights reserved", r"\ball rights reserved\b"),
     ("Proprietary", 60, "proprietary", r"\b(?:confidential and proprietary|proprietary and confidential|proprietary licen[sc]e)\b"),
-    ("Proprietary", 60, "without permission", r"\bmay not be (?:copied|reproduced|redistributed).{0,60}?without (?:prior )?(?:written )?permission\b"),
+    ("Proprietary", 60, ("may not be copied", "may not be reproduced", "may not be redistributed"), r"\bmay not be (?:copied|reproduced|redistributed).{0,60}?without (?:prior )?(?:written )?permission\b"),
     ("Copyright", 20, "copyright", r"\bcopyright (?:\(c\)|©)? ?(?:19|20)\d\d\b"), ("Copyright", 20, "(c)", r"\(c\) ?(?:19|20)\d\d\b"), ("Copyright", 20, "©", "© ?(?:19|20)\\d\\d\\b"),
-    ("Unknown", 20, "see license", r"\bsee licen[sc]e(?: file| in)?\b"),
+    ("Unknown", 20, ("see license", "see licence"), r"\bsee licen[sc]e(?: file| in)?\b"),
 ]
 
 for _id in _SPDX:

@@ -18,14 +18,21 @@ def compiled(pattern: str) -> re.Pattern:
     return re.compile(pattern.replace(" ?", GAP + "*").replace(" ", GAP + "+"), re.IGNORECASE | re.VERSION0)
 
 
+def plain(text: str) -> str:
+    """The form in which keywords are looked up: lower case, as the rules' IGNORECASE has it, and every run of GAP one space."""
+    text = text.replace("\u0130", "i").replace("\u017f", "s").lower()
+    return " ".join(text.replace("*", " ").replace("#", " ").replace("/", " ").split())
+
+
 class Scanner:
     """Compiled rules: an automaton over their keywords tells which ones a text can match."""
 
     def __init__(self, rules=RULES):
         self.rules = [(name, priority, compiled(pattern)) for name, priority, _, pattern in rules]
         by_keyword: dict[str, list[int]] = {}
-        for n, (_, _, keyword, _) in enumerate(rules):
-            by_keyword.setdefault(keyword, []).append(n)
+        for n, (_, _, keywords, _) in enumerate(rules):
+            for keyword in [keywords] if isinstance(keywords, str) else keywords:
+                by_keyword.setdefault(plain(keyword), []).append(n)
         self.automaton = ahocorasick.Automaton()
         for keyword, uses in by_keyword.items():
             self.automaton.add_word(keyword, uses)
@@ -33,7 +40,7 @@ class Scanner:
 
     def candidates(self, text: str) -> list[int]:
         found: set[int] = set()
-        for _, uses in self.automaton.iter(text.lower()):
+        for _, uses in self.automaton.iter(plain(text)):
             found.update(uses)
         return sorted(found)
 
@@ -79,7 +86,8 @@ def _scan(batches):
 def license_scan(docs: DataFrame) -> DataFrame:
     """(doc_id, license, priority, start, end) of every license notice, in characters of the text.
 
-    Rules are regular expressions, each tried only on texts that hold its keyword; a detection that lies within
+    Rules are regular expressions, each tried only on texts that hold a keyword of its own, whatever white space or comment
+    marks part the keyword's words; a detection that lies within
     a stronger one's interval is suppressed, see ``resolve``. Each row is scanned by itself and in full: repeated
     rows and null doc_ids are reported as they are, null and empty texts and empty tables give no rows, and other
     columns aren't read.

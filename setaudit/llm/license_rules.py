@@ -1,6 +1,7 @@
 """The rules: license, priority, keyword that any match holds (lower case; several: any match holds one), regular expression.
 
-A space in an expression stands for white space and comment marks. Priorities: 90 SPDX tags, 80 texts that name a
+A space in an expression stands for white space and comment marks, a counted dot for so many characters, each run of
+white space and comment marks as one. Priorities: 90 SPDX tags, 80 texts that name a
 license with its version in full, 70 full names, 60 characteristic clauses, 50 addresses, 40 short names, 20 hints.
 """
 

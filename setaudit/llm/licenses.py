@@ -11,11 +11,12 @@ from setaudit.llm import textcore as tc
 from setaudit.llm.license_rules import RULES
 
 GAP = r"[\s*#/]"  # a space in a rule: one or more of these, white space and the marks of comments
+WINDOW = r"(?:[^\s*#/]|[\s*#/]++)"  # a counted dot in a rule: a character, or a GAP of any length, line breaks among it
 
 
 def compiled(pattern: str) -> re.Pattern:
     pattern = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(" ", r"\s"), pattern)
-    return re.compile(pattern.replace(" ?", GAP + "*").replace(" ", GAP + "+"), re.IGNORECASE | re.VERSION0)
+    return re.compile(pattern.replace(".{", WINDOW + "{").replace(" ?", GAP + "*").replace(" ", GAP + "+"), re.IGNORECASE | re.VERSION0)
 
 
 def plain(text: str) -> str:

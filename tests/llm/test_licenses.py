@@ -61,3 +61,38 @@ def test_filter_keeps_every_rule(n):
 def test_wrapped_keywords(text, license):
     assert license in [d[0] for d in SCANNER.scan(text)]
     assert SCANNER.scan(text) == resolve(SCANNER.detections(text))
+
+
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+BSD = """3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission."""
+NOTICES = [
+    (GPL, "GPL-3.0-or-later"), (GPL.replace("version 3", "version 2"), "GPL-2.0-or-later"), (LGPL, "LGPL-2.1-or-later"), (LGPL.replace("version 2.1", "version 3"), "LGPL-3.0-or-later"), (AGPL, "AGPL-3.0-or-later"), (BSD, "BSD-3-Clause"),
+    ("under the Common Development and Distribution License,\nVersion 1.0", "CDDL-1.0"), ("Common Development and Distribution License\n(CDDL) 1.1", "CDDL-1.1"), ("may not be copied, in whole or\nin part, without prior\nwritten permission", "Proprietary"),
+]
+
+
+@pytest.mark.parametrize("margin", ["", " * ", "# ", "// ", " " * 60 + "* "])
+@pytest.mark.parametrize("text, license", NOTICES)
+def test_wrapped_notices(text, license, margin):
+    text = margin + text.replace("\n", "\n" + margin)
+    assert license in [d[0] for d in SCANNER.scan(text)]
+    assert SCANNER.scan(text) == resolve(SCANNER.detections(text))
+
+
+def test_windows_end():
+    far = "GNU General Public License " + "word " * 30 + "version 3 of the License, or any later version"
+    assert [d[0] for d in SCANNER.scan(far)] == ["GPL"]
+    assert [d[0] for d in SCANNER.scan("may not be copied " + " *\n" * 50_000)] == []

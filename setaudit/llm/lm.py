@@ -12,9 +12,10 @@ from setaudit.llm.tokens import TOKENIZERS, encoder
 
 WINDOW, STRIDE = 32, 24  # tokens of a context window, and between windows: all but the first share 8 tokens
 WIDTH, CLASSES, ROWS = 16, 64, 4096  # of vectors, output classes, embedding rows
-TRAIN_EVERY = 32  # of that many windows one, chosen by hash, is trained on: the training text grows with the corpus
+TRAIN_EVERY = 1  # of that many windows one, chosen by hash, is trained on: with 1, each round reads every window
 ROUNDS = 2  # of training: each partition trains on its windows from the common weights, and weights are averaged
 BATCH = 256
+PIECE = 64  # windows whose gradients are computed at once: their arrays stay in the cache, and a batch's gradients are sums over its pieces
 RATE = 0.01
 BOS, PAD = 0, 1  # embedding rows
 
@@ -76,6 +77,13 @@ def class_log_probs(w: dict[str, np.ndarray], rows: np.ndarray, first: int = 0)
 
 def gradients(w: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """(mean loss, gradients) over the positions whose target class isn't negative."""
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    n = max(1, int((target >= 0).sum()))
+    return sum(_add_gradients(w, rows[i : i + PIECE], target[i : i + PIECE], n, g) for i in range(0, len(rows), PIECE)) / n, g
+
+
+def _add_gradients(w: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray, n: int, g: dict[str, np.ndarray]) -> float:
+    """Sum of the losses; adds their gradients, divided by n, to g."""
     x = w["emb"][rows] + w["pos"]
     scale = np.float32(1 / np.sqrt(WIDTH))
     q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
@@ -84,26 +92,29 @@ def gradients(w: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray) ->
     h = x + c @ w["o"]
     p = _softmax(h @ w["out"] + w["bias"])
     some = target >= 0
-    n = max(1, int(some.sum()))
     at = (*np.nonzero(some), target[some])
-    loss = float(-np.log(np.maximum(p[at], 1e-12)).sum() / n)
+    loss = float(-np.log(np.maximum(p[at], 1e-12)).sum())
     p[at] -= 1
     p *= some[..., None] / np.float32(n)
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"out": flat(h).T @ flat(p), "bias": flat(p).sum(axis=0)}
+    g["out"] += flat(h).T @ flat(p)
+    g["bias"] += flat(p).sum(axis=0)
     dh = p @ w["out"].T
-    g["o"] = flat(c).T @ flat(dh)
+    g["o"] += flat(c).T @ flat(dh)
     dc = dh @ w["o"].T
     dv = a.transpose(0, 2, 1) @ dc
     da = dc @ v.transpose(0, 2, 1)
     ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * scale
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
+    for name, d in (("q", dq), ("k", dk), ("v", dv)):
+        g[name] += flat(x).T @ flat(d)
     dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-    g["pos"] = dx.sum(axis=0)
-    g["emb"] = np.zeros_like(w["emb"])
-    np.add.at(g["emb"], rows.ravel(), flat(dx))
-    return loss, g
+    g["pos"] += dx.sum(axis=0)
+    order = np.argsort(rows, axis=None, kind="stable")
+    row = rows.ravel()[order]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    g["emb"][row[first]] += np.add.reduceat(flat(dx)[order], first, axis=0)
+    return loss
 
 
 class Adam:
@@ -203,7 +214,7 @@ def _train(shared, seed: int, every: int):
                 continue
             begin = (np.cumsum(n) - n)[doc] + start
             with np.errstate(over="ignore"):
-                # chosen by content, so that the choice doesn't depend on how rows are partitioned
+                # where not all are taken, chosen by content, so that the choice doesn't depend on how rows are partitioned
                 head = ids[begin].astype(np.uint64) * mult + ids[np.minimum(begin + np.minimum(n[doc] - start, 5) - 1, len(ids) - 1)] * np.uint64(7919) + n[doc].astype(np.uint64) + start.astype(np.uint64) * np.uint64(31)
                 pick = np.flatnonzero(tc.mix(head + np.uint64(seed)) % np.uint64(every) == 0)
             for i in range(0, len(pick), 4 * BATCH):
@@ -271,7 +282,7 @@ def lm_scores(docs: DataFrame, tokenizers: str = TOKENIZERS, rounds: int = ROUND
 
     Texts are encoded once with a public byte-pair vocabulary. Token counts over all documents give the output
     classes; a one-layer causal self-attention model predicts the next token's class, and a token's probability is
-    its class's times its share of the class. The model is trained in numpy on every 32nd window of all documents,
+    its class's times its share of the class. The model is trained in numpy on every window of all documents,
     by rounds of local Adam whose weights are averaged. Scoring covers each document with overlapping windows,
     batched, and takes each token's log-probability (natural) from one window, in which it has at least 8 tokens
     before it or all there are. nll is the mean per token, unigram_nll that of the counts alone.

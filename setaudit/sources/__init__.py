@@ -6,7 +6,6 @@ their place. JSONL is splittable; a JSON or CSV file is one document and so one
 
 from __future__ import annotations
 
-import codecs
 import csv
 import io
 import json
@@ -16,9 +15,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from setaudit import runtime
-from setaudit.functions import is_blank
+from setaudit.functions import is_blank, stripped
 from setaudit.mapping import FieldMapping, apply_mapping, resolve_mapping
 from setaudit.model import CASES, EvalCase, EvalSet, LoadError, SchemaError
 
@@ -39,6 +39,10 @@ def _jsonl(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for file, block, text in zip(batch["file"], batch["block"], batch["value"]):
             nth, place = lines.get((file, block), (0, 0))
             place += 1
+            if text is None:
+                out.append((file, block, nth + 1, place, None, "not UTF-8"))
+                lines[file, block] = nth + 1, place
+                continue
             text = text.lstrip("﻿") if place == 1 and block == 0 else text
             if text.strip():
                 nth += 1
@@ -55,6 +59,9 @@ def _whole(parse):
         for batch in batches:
             out = []
             for file, text in zip(batch["file"], batch["value"]):
+                if text is None:
+                    out.append((file, 0, 1, 0, None, "not UTF-8"))
+                    continue
                 try:
                     out += [(file, 0, n, n, *_record(r)) for n, r in enumerate(parse(text.lstrip("﻿")), 1)]
                 except (ValueError, csv.Error) as e:
@@ -116,12 +123,12 @@ def _text_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Records with global ``pos`` and ``place``, from the counts of each block: one row a block."""
     read = spark.read.text(path, wholetext=kind != "jsonl")
     block = F.col("_metadata.file_block_start") if kind == "jsonl" else F.lit(0)
-    lines = read.select(F.col("_metadata.file_path").alias("file"), block.cast("long").alias("block"), "value")
+    lines = read.select(F.col("_metadata.file_path").alias("file"), block.cast("long").alias("block"), F.when(F.is_valid_utf8("value"), F.col("value")).alias("value"))
     parser = {"jsonl": _jsonl, "json": _whole(_json_items), "csv": _whole(_csv_rows)}[kind]
     runtime.send(spark)
     rows = lines.mapInPandas(parser, _RECORDS)
     if kind == "jsonl":
-        counts = lines.groupBy("file", "block").agg(F.count_if(~is_blank("value")).alias("n"), F.count("*").alias("m"))
+        counts = lines.groupBy("file", "block").agg(F.count_if(F.col("value").isNull() | ~is_blank("value")).alias("n"), F.count("*").alias("m"))
     else:
         counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("m"))
     order = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,15 +151,6 @@ def load_with_mapping(spark: SparkSession, path: str, field_map: dict[str, str]
     kind, where = _KINDS[suffix]
     if kind == "parquet":
         return from_dataframe(spark.read.parquet(path), field_map, source=path)
-    if "://" not in path and os.path.isfile(path):
-        with open(path, "rb") as f:  # decoded once, flat in memory: Spark would replace what isn't UTF-8
-            decoder = codecs.getincrementaldecoder("utf-8")()
-            try:
-                while part := f.read(1 << 20):
-                    decoder.decode(part)
-                decoder.decode(b"", final=True)
-            except UnicodeDecodeError as e:
-                raise LoadError(f"{name}: not UTF-8 ({e})") from e
     records = _text_records(spark, path, kind).persist()
     first = records.where("error is not null").orderBy("pos").first()
     if first:
@@ -177,6 +175,16 @@ def load(spark: SparkSession, path: str, field_map: dict[str, str] | None = None
     return load_with_mapping(spark, path, field_map)[0]
 
 
+@F.pandas_udf(StringType())
+def _python_text(value: pd.Series) -> pd.Series:
+    return value.map(lambda v: str(json.loads(v)["v"]))
+
+
+@F.pandas_udf(StringType())
+def _value_json(value: pd.Series) -> pd.Series:
+    return value.map(lambda v: json.dumps(json.loads(v)["v"]))
+
+
 def project(df: DataFrame, mapping: FieldMapping) -> DataFrame:
     """The mapped columns of a DataFrame as id, input, expected_text, expected_json, label, metadata."""
     cell = lambda f: F.col(f"`{mapping.resolved[f]}`") if f in mapping.resolved else F.lit(None)
@@ -190,8 +198,14 @@ def project(df: DataFrame, mapping: FieldMapping) -> DataFrame:
     used = set(mapping.resolved.values())
     extra = [F.col(f"`{c}`").alias(mapping.displaced.get(c, c)) for c in df.columns if c not in used or c in mapping.displaced]
     meta = F.to_json(F.struct(*extra)) if extra else F.lit(None).cast("string")
-    label = F.trim(text("label"))
-    return df.select(text("id").alias("id"), text("input").alias("input"), text("expected").alias("expected_text"), F.lit(None).cast("string").alias("expected_json"), label.alias("label"), meta.alias("metadata"))
+    kind = kinds.get(mapping.resolved.get("expected", ""), "string")
+    if kind == "double" or kind == "float" or "<" in kind:  # Python's text of these isn't the cast's, so both kinds of source take Python's
+        runtime.send(df.sparkSession)
+        value = F.to_json(F.struct(cell("expected").alias("v")), {"ignoreNullFields": "false"})
+        expected, as_json = F.when(cell("expected").isNotNull(), _python_text(value)), F.when(cell("expected").isNotNull(), _value_json(value))
+    else:
+        expected, as_json = text("expected"), F.lit(None).cast("string")
+    return df.select(text("id").alias("id"), text("input").alias("input"), expected.alias("expected_text"), as_json.alias("expected_json"), stripped(text("label")).alias("label"), meta.alias("metadata"))
 
 
 def from_dataframe(df: DataFrame, field_map: dict[str, str] | None = None, order_by: str | None = None, source: str = "dataframe", check: bool = True) -> tuple[EvalSet, FieldMapping]:

@@ -6,6 +6,7 @@ import random
 from collections.abc import Callable, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,11 +82,14 @@ def drawn(cases: DataFrame, n: int, k: int | None, seed: int = 0) -> DataFrame:
 
 
 def _verdict(raw: Any) -> tuple[float, bool] | None:
-    if not isinstance(raw, (bool, int, float)) and hasattr(raw, "item") and getattr(raw, "ndim", 0) == 0:
-        raw = raw.item()
-    if isinstance(raw, bool):
-        return float(raw), True
-    return (float(raw), False) if isinstance(raw, (int, float)) else None
+    """(score, whether it was a bool); None for what isn't a verdict. numpy's scalars and arrays without dimensions count as their value."""
+    plain = raw.tolist() if isinstance(raw, (np.generic, np.ndarray)) else raw
+    match plain:
+        case bool():
+            return float(plain), True
+        case int() | float():
+            return float(plain), False
+    return None
 
 
 def scored(rows: DataFrame, scorer: Scorer, models: Sequence[Any]) -> DataFrame:
@@ -114,17 +118,17 @@ def scored(rows: DataFrame, scorer: Scorer, models: Sequence[Any]) -> DataFrame:
     return rows.mapInPandas(run, "pos long, case_id string, model_ix int, model string, repeat int, score double, is_bool boolean, error string")
 
 
-def _cases(n: int) -> str:
-    return "1 case" if n == 1 else f"{n} cases"
+def counted(n: int) -> str:
+    return f"{n} case" + "s" * (n != 1)
 
 
 class DiscriminationCheck(Check):
-    """``scorer(case, model)`` runs on the executors, max_workers calls at once; models are given weakest first."""
+    """``scorer(case, model)`` runs on the executors, max_workers calls at once (None: as many as the session has slots); models are given weakest first."""
 
     name = "discrimination"
     description = "Cases whose verdict is the same for weak and strong models."
 
-    def __init__(self, scorer: Scorer | None, models: Sequence[Any], *, pass_threshold: float = 0.5, max_non_discriminating_share: float = 0.5, repeats: int = 1, max_workers: int = 1, sample: int | None = None, sample_seed: int = 0):
+    def __init__(self, scorer: Scorer | None, models: Sequence[Any], *, pass_threshold: float = 0.5, max_non_discriminating_share: float = 0.5, repeats: int = 1, max_workers: int | None = None, sample: int | None = None, sample_seed: int = 0):
         names = [str(m) for m in models]
         if len(names) < 2:
             raise ValueError(f"two models or more are needed, got {len(names)}")
@@ -144,7 +148,8 @@ class DiscriminationCheck(Check):
         cases = drawn(eval_set.cases, whole, self.sample, self.sample_seed)
         n = min(whole, self.sample or whole)
         if verdicts is None:
-            rows = tasks(cases.select(*[c.split()[0] for c in CASES.split(", ")]), self.names, self.repeats).repartition(self.max_workers)
+            workers = self.max_workers or cases.sparkSession.sparkContext.defaultParallelism
+            rows = tasks(cases.select(*[c.split()[0] for c in CASES.split(", ")]), self.names, self.repeats).repartition(workers)
             calls = runtime.checkpoint(scored(rows, self.scorer, self.models))
             wrong = calls.where("error is not null").orderBy("pos", "model_ix", "repeat").first()
             if wrong:
@@ -174,13 +179,13 @@ class DiscriminationCheck(Check):
             found.append(Finding(f"{len(unstable)} of {n} cases changed their verdict between {self.repeats} identical runs and are left out below; the other figures cover the {measured} reproducible cases", case_ids=tuple(unstable)))
         if share > self.most_same:
             scope = "measured cases" if unstable else "cases"
-            found.append(Finding(f"{share:.0%} of {scope} ({same}/{measured}) have one verdict for all models; this set discriminates like one of {_cases(measured - same)}"))
+            found.append(Finding(f"{share:.0%} of {scope} ({same}/{measured}) have one verdict for all models; this set discriminates like one of {counted(measured - same)}"))
         if ceiling:
-            found.append(Finding(f"every model passes {_cases(len(ceiling))}, '{self.names[0]}' too", Severity.INFO, tuple(ceiling)))
+            found.append(Finding(f"every model passes {counted(len(ceiling))}, '{self.names[0]}' too", Severity.INFO, tuple(ceiling)))
         if floor:
-            found.append(Finding(f"every model fails {_cases(len(floor))}, '{self.names[-1]}' too; look at the reference answer and the grader first", case_ids=tuple(floor)))
+            found.append(Finding(f"every model fails {counted(len(floor))}, '{self.names[-1]}' too; look at the reference answer and the grader first", case_ids=tuple(floor)))
         if inverted:
-            found.append(Finding(f"in {_cases(len(inverted))} a weaker model passed and a stronger one failed, which points at a wrong reference answer or grader", case_ids=tuple(inverted)))
+            found.append(Finding(f"in {counted(len(inverted))} a weaker model passed and a stronger one failed, which points at a wrong reference answer or grader", case_ids=tuple(inverted)))
         weak, strong = rate[self.names[0]], rate[self.names[-1]]
         if weak > strong:
             found.append(Finding(f"'{self.names[0]}', given as the weakest, passed {weak:.0%} against {strong:.0%} for '{self.names[-1]}': the order or the scorer may be the wrong way round"))

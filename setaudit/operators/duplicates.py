@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -14,7 +16,8 @@ from setaudit.functions import normalised
 from setaudit.model import Check, CheckResult, EvalSet, Finding, MissingEmbeddingsError
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
-THRESHOLD, TILE = 0.85, 4096
+THRESHOLD, TILE = 0.85, 16_384  # vectors of a tile at most; two tiles of 1,000 floats are 130 MB
+BAND = 4_096  # vectors of the other tile that one block of cosines covers
 LIMITATIONS = (
     "Likeness is the embedder's: texts it places apart are not found, whatever they mean.",
     "Clusters are transitive, so two members may be less alike than the threshold; the range is reported.",
@@ -46,13 +49,14 @@ def _tile_pair(threshold: float):
         i, j = rows["pos"].to_numpy(), cols["pos"].to_numpy()
         only, most, out = t["tile"].max() == first and t["self"].iloc[0], 0.0, []
         for at in range(0, len(x), 1024):
-            s = np.clip(x[at : at + 1024] @ y.T, -1, 1)
-            if only:
-                s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
-                s[np.arange(len(y))[None, :] <= np.arange(at, at + len(s))[:, None]] = -2
-            p, q = np.nonzero(s >= threshold)
-            most = max(most, float(s.max(initial=0.0)))
-            out.append(pd.DataFrame({"a": np.minimum(i[p + at], j[q]), "b": np.maximum(i[p + at], j[q]), "sim": s[p, q]}))
+            for to in range(at if only else 0, len(y), BAND):
+                s = np.clip(x[at : at + 1024] @ y[to : to + BAND].T, -1, 1)
+                if only:  # each pair once, and no row with itself
+                    s[np.arange(to, to + s.shape[1])[None, :] <= np.arange(at, at + len(s))[:, None]] = -2
+                p, q = np.nonzero(s >= threshold)
+                most = max(most, float(s.max(initial=0.0)))
+                a, b = i[p + at], j[q + to]
+                out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": s[p, q]}))
         out.append(pd.DataFrame({"a": [None], "b": [None], "sim": [most]}))
         got = pd.concat(out, ignore_index=True)
         return got.astype({"a": "Int64", "b": "Int64"})
@@ -60,14 +64,20 @@ def _tile_pair(threshold: float):
     return run
 
 
+def tiles_for(n: int, slots: int, tile: int = TILE) -> int:
+    """So many tiles that their pairs keep every slot busy, and none is larger than ``tile`` rows; each row is sent to as many groups."""
+    return max(1, -(-n // tile), min(math.isqrt(2 * slots) + 1, n // 256))
+
+
 def compare(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> tuple[DataFrame, float]:
     """((a, b, sim) of the pairs of vectors(pos, vec) at or above the threshold, largest cosine of any pair or 0).
 
     Rows are hashed into tiles and every pair of tiles is one task's group, so no side is broadcast and no matrix is
-    larger than 1024 rows of a tile. A zero vector is like nothing.
+    larger than 1024 x 4096. A row travels once for each tile, n / 16,384 times. A zero vector is like nothing.
     """
-    runtime.send(vectors.sparkSession)
-    tiles = max(1, -(-vectors.count() // tile))
+    spark = vectors.sparkSession
+    runtime.send(spark)
+    tiles = tiles_for(vectors.count(), spark.sparkContext.defaultParallelism, tile)
     placed = vectors.select("pos", "vec", F.pmod(F.xxhash64("pos"), F.lit(tiles)).cast("int").alias("tile"))
     other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("k")
     spread = placed.select("*", other).select("pos", "vec", "tile", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"))
@@ -128,9 +138,29 @@ def cluster_stats(members: DataFrame, vectors: DataFrame) -> DataFrame:
     return members.join(vectors, "pos").groupBy("cluster").applyInPandas(_span, "cluster long, n_cases long, min_sim double, max_sim double")
 
 
+class DefaultEmbedder:
+    """The named sentence-transformers model, loaded where it is first called in a process."""
+
+    def __init__(self, name: str):
+        if importlib.util.find_spec("sentence_transformers") is None:
+            raise MissingEmbeddingsError("the duplicates check needs an embedder, a table of vectors, or sentence-transformers")
+        self.name, self.model = name, None
+
+    def __getstate__(self):
+        return {"name": self.name, "model": None}
+
+    def __call__(self, texts: Sequence[str]) -> np.ndarray:
+        if self.model is None:
+            from sentence_transformers import SentenceTransformer
+
+            self.model = SentenceTransformer(self.name)
+        return self.model.encode(list(texts), show_progress_bar=False)
+
+
 class DuplicateCheck(Check):
-    """``vectors`` is a table (id, embedding); or an ``embedder`` maps texts to vectors, by default all distinct texts
-    at once on the driver (its vectors may depend on the whole set), or with per_batch=True on the executors."""
+    """``vectors`` is a table (id, embedding); or an ``embedder`` maps texts to vectors: all distinct texts at once on the
+    driver (its vectors may depend on the whole set), or with per_batch=True on the executors. With neither, the default
+    model, whose vectors depend on one text each, runs on the executors."""
 
     name = "duplicates"
     description = "Near-duplicate cases by the cosine of their embeddings."
@@ -140,20 +170,12 @@ class DuplicateCheck(Check):
             raise ValueError("threshold must lie in (0, 1]")
         self.threshold, self.embedder, self.vectors, self.per_batch, self.model_name = threshold, embedder, vectors, per_batch, model_name
 
-    def _default(self) -> Embedder:
-        try:
-            from sentence_transformers import SentenceTransformer
-        except ImportError as e:
-            raise MissingEmbeddingsError("the duplicates check needs an embedder, a table of vectors, or sentence-transformers") from e
-        model = SentenceTransformer(self.model_name)
-        return lambda texts: model.encode(list(texts), show_progress_bar=False)
-
     def embedded(self, firsts: DataFrame) -> DataFrame:
         """(pos, vec) of firsts(pos, id, input)."""
         spark = firsts.sparkSession
         if self.vectors is not None:
             return firsts.join(self.vectors.select(F.col("id").cast("string").alias("id"), F.col("embedding").alias("vec")), "id").select("pos", "vec")
-        embedder = self.embedder or self._default()
+        embedder = self.embedder or DefaultEmbedder(self.model_name)
 
         def vectors_of(texts: list[str]) -> list[list[float]]:
             x = np.asarray(embedder(texts), np.float32)
@@ -161,7 +183,7 @@ class DuplicateCheck(Check):
                 raise ValueError(f"an embedder must return one vector per text: ({len(texts)}, d), got {x.shape}")
             return x.tolist()
 
-        if self.per_batch:
+        if self.per_batch or self.embedder is None:
             runtime.send(spark)
 
             def run(batches):

@@ -144,9 +144,9 @@ def test_response_functions(spark):
     assert [tuple(r) for r in got] == [(-5.5, True), (None, None), (None, None)]
     k = t.select(functions.request_key(m=F.col("a"), r=F.lit(1)).alias("k"), functions.request_key(m=F.col("a"), r=F.lit(2)).alias("j")).collect()
     assert len({x for r in k for x in r}) == 6
-    req, log = spark.createDataFrame([("k1",), ("k2",), ("k2",)], "key string"), spark.createDataFrame([("k1", "r")], "key string, text string")
+    req, log = spark.createDataFrame([("k1",), ("k2",), ("k2",)], "key string"), spark.createDataFrame([("k1", "old", 1), ("k1", "new", 3), ("k1", "mid", 2)], "key string, text string, at long")
     hit, miss = responses.replayed(req, log)
-    assert hit.count() == 1 and [r.key for r in miss.collect()] == ["k2"]
+    assert [r.text for r in hit.collect()] == ["new"] and [r.key for r in miss.collect()] == ["k2"]
 
 
 def test_gate_report_and_cli(spark, tmp_path, capsys):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from setaudit.plans import checks, verdicts
+from setaudit.plans import checks, composites, verdicts
 
-QUERIES: dict = checks.QUERIES | verdicts.QUERIES
-ORACLES: dict = checks.ORACLES | verdicts.ORACLES
+QUERIES: dict = checks.QUERIES | verdicts.QUERIES | composites.QUERIES
+ORACLES: dict = checks.ORACLES | verdicts.ORACLES | composites.ORACLES

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from setaudit import functions as fn
-from setaudit import gate
+from setaudit import gate, runtime
 from setaudit.operators import discrimination as disc
 from setaudit.operators import responses
 from setaudit.plans.checks import as_cases, read
@@ -78,17 +77,27 @@ def disc_threshold_sweep(spark, sf):
     return rows.groupBy("threshold").agg(F.count_if(ok).alias("n_passed"), F.count("*").alias("n_calls"))
 
 
-@query("""WITH r AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS nth FROM events WHERE event_type IN ('view', 'click', 'signup')),
-p AS (SELECT user_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS ix, count(*) AS n, count(*) FILTER (WHERE value >= 20) AS y FROM r WHERE nth <= 2 GROUP BY ALL),
-k AS (SELECT user_id, bool_and(y IN (0, n)) AS stable, bool_and(y = n) AS a, bool_and(y = 0) AS z, coalesce(min(ix) FILTER (WHERE y > 0) < max(ix) FILTER (WHERE y < n), false) AS i FROM p GROUP BY user_id),
+@query("""WITH v AS (SELECT event_id AS case_id, m AS ix, value >= (CASE m WHEN 0 THEN 60 WHEN 1 THEN 40 ELSE 20 END) + (CASE WHEN event_id % 17 = 0 THEN 30 * r ELSE 0 END) - (CASE WHEN event_id % 5 = 0 THEN 45 * (2 - m) ELSE 0 END) AS y
+  FROM events, (SELECT unnest([0, 1, 2]) AS m), (SELECT unnest([0, 1]) AS r)),
+p AS (SELECT case_id, ix, count(*) AS n, count(*) FILTER (WHERE y) AS y FROM v GROUP BY ALL),
+k AS (SELECT case_id, bool_and(y IN (0, n)) AS stable, bool_and(y = n) AS a, bool_and(y = 0) AS z, coalesce(min(ix) FILTER (WHERE y > 0) < max(ix) FILTER (WHERE y < n), false) AS i FROM p GROUP BY case_id),
 t AS (SELECT stable, stable AND a AS ceiling, stable AND z AS floor, stable AND i AS inverted FROM k)
 """ + _TOTALS + " FROM t")
 def disc_events_log(spark, sf):
-    order = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    calls = read(spark, sf, "events").where(F.col("event_type").isin("view", "click", "signup")).withColumn("nth", F.row_number().over(order)).where("nth <= 2")
+    """Every event is a case; its value is graded twice for three models, each with a bar of its own."""
+    rows = disc.tasks(read(spark, sf, "events").select(F.col("event_id").alias("case_id"), "value"), MODELS, 2)
+    m, r, e = F.col("model_ix"), F.col("repeat"), F.col("case_id")
+    bar = F.when(m == 0, 60).when(m == 1, 40).otherwise(20) + F.when(e % 17 == 0, 30 * r).otherwise(0) - F.when(e % 5 == 0, 45 * (2 - m)).otherwise(0)
+    return disc.totals(disc.taxonomy(rows.withColumn("passed", F.coalesce(F.col("value") >= bar, F.lit(False))), 3)).withColumn("same_share", F.round("same_share", 6))
+
+
+@query("""WITH v AS (SELECT user_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS ix, coalesce(value >= 20, false) AS y FROM events WHERE event_type IN ('view', 'click', 'signup'))
+SELECT user_id AS case_id, ix AS model_ix, count(*) AS n_repeats, count(*) FILTER (WHERE y) AS n_passed, count(*) FILTER (WHERE y) IN (0, count(*)) AS unanimous FROM v GROUP BY user_id, ix""")
+def disc_events_stability(spark, sf):
+    """Every view, click and signup of the log is a verdict on its user: repeats in any number."""
     ix = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).otherwise(2)
-    rows = disc.judged(calls.select(F.col("user_id").alias("case_id"), ix.alias("model_ix"), F.col("value").alias("score")), 20.0)
-    return disc.totals(disc.taxonomy(rows, 3)).withColumn("same_share", F.round("same_share", 6))
+    calls = read(spark, sf, "events").where(F.col("event_type").isin("view", "click", "signup"))
+    return disc.stability(disc.judged(calls.select(F.col("user_id").alias("case_id"), ix.alias("model_ix"), F.col("value").alias("score")), 20.0))
 
 
 @query("""SELECT doc_id AS case_id, true AS stable, quality > 0 AND toxic > 0 AS ceiling, quality <= 0 AND toxic <= 0 AS floor, quality > 0 AND toxic <= 0 AS inverted
@@ -102,20 +111,24 @@ def disc_labels_two_raters(spark, sf):
 @query()
 def disc_sample(spark, sf):
     """200 drawn cases: the feature is a sample."""
-    cases = as_cases(read(spark, sf, "documents"), "doc_id", "text").select("id", F.row_number().over(Window.orderBy("pos")).cast("long").alias("pos"))
+    cases = runtime.numbered(read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id").orderBy("doc_id")).select("id", "pos")
     return disc.drawn(cases, cases.count(), 200, seed=7)
 
 
 def _scorer(case, model):
     d, m = int(case.id), MODELS.index(model)
-    return (140 - (d * 7919) % 100 + 20 * m - (60 * m if d % 11 == 0 else 0)) / 200.0
+    return (90 - (d * 7919) % 100 + 20 * m - (60 * m if d % 11 == 0 else 0) + len(case.input) % 101) / 200.0
 
 
-@query(_VERDICTS + 'SELECT case_id, model_ix, "repeat", round(score, 6) AS score, passed FROM (SELECT * FROM v WHERE "repeat" = 0)')
+@query(r"""WITH v AS (SELECT doc_id::VARCHAR AS case_id, m AS model_ix, r AS "repeat",
+  ((90 - ((doc_id * 7919) % 100) + 20 * m - (CASE WHEN doc_id % 11 = 0 THEN 60 * m ELSE 0 END) + length(text) % 101) / 200.0)::DOUBLE AS score
+  FROM documents, (SELECT unnest([0, 1, 2]) AS m), (SELECT unnest([0, 1, 2]) AS r) WHERE regexp_matches(text, '\S'))
+SELECT case_id, model_ix, "repeat", round(score, 6) AS score, score >= 0.5 AS passed FROM v""")
 def disc_scorer_udf(spark, sf):
+    """The scorer reads each case's whole text, for three models and three runs. It can't know the run, so runs agree."""
     none = F.lit(None).cast("string")
-    cases = as_cases(read(spark, sf, "documents").where("text is not null"), "doc_id", F.lit("-")).withColumns({"expected_json": none, "metadata": none})
-    calls = disc.scored(disc.tasks(cases, MODELS, 1), _scorer, MODELS)
+    cases = as_cases(read(spark, sf, "documents").where(~fn.is_blank("text")), "doc_id", "text").withColumns({"expected_json": none, "metadata": none})
+    calls = disc.scored(disc.tasks(cases, MODELS, 3), _scorer, MODELS)
     return disc.judged(calls).select("case_id", "model_ix", "repeat", F.round("score", 6).alias("score"), "passed")
 
 

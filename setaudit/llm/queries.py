@@ -20,9 +20,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from setaudit.llm.embeddings import embedding_pairs
+    from setaudit.llm.embeddings import embedding_classes
 
-    return embedding_pairs(tc.read(spark, sf_dir, "embeddings"))
+    return embedding_classes(tc.read(spark, sf_dir, "embeddings"))
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +94,15 @@ WITH words AS (
 )
 SELECT doc_id, CAST(min(i) AS INTEGER) AS start_word, CAST(max(i) + 50 AS INTEGER) AS end_word FROM numbered GROUP BY doc_id, part""",
     "op3_embedding_dedup": """
-SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, max(CAST(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS DOUBLE)) AS cosine
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND len(a.embedding) = len(b.embedding)
-WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.85 GROUP BY ALL""",
+WITH RECURSIVE e AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON (a.vec_id <> b.vec_id OR a.v <> b.v) AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.85
+), reach AS (
+  SELECT vec_id AS n, vec_id AS m FROM e UNION SELECT r.n, p.b FROM reach r JOIN p ON r.m = p.a
+), c AS (SELECT n, min(m) AS class_id FROM reach GROUP BY n)
+SELECT e.vec_id, c.class_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id) AS links FROM e JOIN c ON c.n = e.vec_id""",
     "op8_chat_format": r"""
 SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE contains(text, '<|end|>' || chr(10))) AS escaped,
   string_agg('<|turn|>' || coalesce(role, '~') || CASE WHEN text IS NULL THEN '!n' WHEN contains(text, '<|end|>' || chr(10)) THEN '!e' ELSE '' END || chr(10) ||

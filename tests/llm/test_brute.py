@@ -96,10 +96,25 @@ def test_embeddings(spark):
     x = rng.standard_normal((600, 32))
     x[300:] = x[:300] + rng.standard_normal((300, 32)) * 0.5
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    a, b = np.nonzero(np.triu(u @ u.T >= 0.85, 1))
-    got = {(r.vec_id_a, r.vec_id_b) for r in embeddings.embedding_pairs(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
-    want = set(zip(a.tolist(), b.tolist()))
-    assert got <= want and len(got) >= 0.9 * len(want) > 50
+    near = (u @ u.T >= 0.85) & ~np.eye(len(u), dtype=bool)
+    got = {r.vec_id: (r.class_id, r.links) for r in embeddings.embedding_classes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    links = np.array([got[i][1] for i in range(600)])
+    assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.9 * near.sum() > 100
+    from setaudit.llm.graph import forest
+
+    root = forest(600, *np.nonzero(near))
+    same = [got[i][0] == root[i] for i in range(600)]
+    assert np.mean(same) >= 0.9 and all(root[got[i][0]] == root[i] for i in range(600))
+
+
+def test_embedding_recall_of_the_full_tables(spark):
+    """Against brute force, in blocks, over the largest test table at a threshold that it has pairs for."""
+    table = tc.read(spark, "/root/testdata/sf0.1", "embeddings")
+    x = np.array(table.orderBy("vec_id").toPandas()["embedding"].tolist())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = sum(int((u[i : i + 500] @ u.T >= 0.45).sum()) for i in range(0, len(u), 500)) - len(u)
+    got = embeddings.embedding_classes(table, threshold=0.45).agg({"links": "sum"}).first()[0]
+    assert 0.9 * want <= got <= want and want > 100
 
 
 def test_lm_scores_each_token_once_and_causally():

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import numpy as np
 import pytest
 
 from setaudit.llm import chat, decontaminate, edits, embeddings, licenses, lm, mixing, quality, simhash, substring
@@ -51,10 +52,20 @@ def test_decontamination(spark, docs, none):
 
 
 def test_embeddings(spark):
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [1.0, None]), (None, [1.0, 0.0]), (7, [1.0, 0.0, 0.0]), (8, [])]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert [tuple(r) for r in embeddings.embedding_pairs(v).collect()] == [(1, 2, 1.0)]
-    assert embeddings.embedding_pairs(v.limit(0)).count() == 0
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [1.0, None]), (None, [1.0, 0.0]), (7, [1.0, 0.0, 0.0]), (8, []), (9, [0.0, 1.0]), (10, [float("inf"), 1.0]), (11, [1.0, 0.0]), (9, [0.1, 1.0])]
+    v = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "vec_id long, embedding array<double>, node int, key int, class_id string")
+    got = sorted(tuple(r) for r in embeddings.embedding_classes(v).collect())
+    assert got == [(1, 1, 2), (2, 1, 2), (7, 7, 0), (9, 9, 1), (9, 9, 1), (11, 1, 2)]
+    assert embeddings.embedding_classes(v.limit(0)).count() == 0
+
+
+def test_embeddings_in_a_hot_bucket(spark):
+    rng = np.random.default_rng(5)
+    one, other = rng.standard_normal((2, 8))
+    x = np.concatenate([one + 0.01 * rng.standard_normal((400, 8)), np.repeat(one[None], 300, axis=0), other + 0.01 * rng.standard_normal((3, 8))])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    whole, blocks = (sorted(tuple(r) for r in embeddings.embedding_classes(v, most=m).collect()) for m in (10_000, 50))
+    assert whole == blocks == [(i, 0 if i < 700 else 700, 699 if i < 700 else 2) for i in range(703)]
 
 
 def test_lm(docs, none):

@@ -6,10 +6,7 @@ lookup table, and every word hash of a slice comes from one prefix-polynomial pa
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setaudit import runtime
+
 SLICE_BYTES = 2 << 20  # bytes of text handled at once; a longer document is a slice of its own
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -147,51 +146,27 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each Spark application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.join(tempfile.mkdtemp(prefix="setaudit-ship-"), "setaudit_ship.zip")
-    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
-        for at, _, files in os.walk(top):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(at, f)
-                    z.write(full, os.path.join("setaudit", os.path.relpath(full, top)))
-    sc.addPyFile(name)
-    _SHIPPED.add(sc.applicationId)
+ship, shared_dir, cut = runtime.send, runtime.shared_dir, runtime.checkpoint
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none (tests), a folder of this machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="setaudit-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared folder; for wide rows. It goes by ``drop``, or when the session's process ends."""
+    spark = df.sparkSession
+    path = runtime.scratch(spark, name)
+    df.write.parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(got)] = (weakref.ref(got), path)
+    return got
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through checkpoint() in the shared folder; for narrow rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage through a Parquet table in the shared folder; for wide rows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/setaudit-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``table`` wrote, when all that reads it has been computed."""
+    held, path = _PATHS.pop(id(df), (lambda: None, ""))
+    if held() is df:
+        runtime.discard(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -33,8 +33,9 @@ def corpus():
     return out
 
 
+@pytest.mark.parametrize("most", [substring.MOST_PIECES, 3, 0])  # with 0 all grams are hot ones
 @pytest.mark.parametrize("earlier", [False, True])
-def test_substring(spark, corpus, earlier):
+def test_substring(spark, corpus, earlier, most):
     least, held, spans = 50, {}, []
     for d, t in corpus:
         w = t.split()
@@ -44,7 +45,7 @@ def test_substring(spark, corpus, earlier):
         w = t.split()
         spans += [(d, i, i + least) for i in range(len(w) - least + 1) if (min(held[tuple(w[i : i + least])]) < d if earlier else len(held[tuple(w[i : i + least])]) > 1)]
     want = set(zip(*(x.tolist() for x in substring.merged(*(np.array(c, np.int64) for c in zip(*spans))))))
-    got = {tuple(r) for r in substring.repeated_passages(spark.createDataFrame(corpus, "doc_id long, text string"), earlier=earlier).collect()}
+    got = {tuple(r) for r in substring.repeated_passages(spark.createDataFrame(corpus, "doc_id long, text string"), earlier=earlier, most=most).collect()}
     assert want and got == want
 
 

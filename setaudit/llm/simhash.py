@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from setaudit.llm import textcore as tc
 from setaudit.llm.graph import components, forest
+from setaudit.runtime import free
 
 RADIUS = 24  # of 128 bits: unrelated documents differ in 60 bits or so, light edits in 20 at most
-LEAST_BYTES = 4  # shorter words are mostly function words, which unrelated documents share
+LEAST_BYTES = 4  # shorter words without a digit are mostly function words, which unrelated documents share
 TILE = 16_384
 MOST_TILES = 512  # beyond this many, tiles grow instead, so the plan of tile pairs stays small
 
@@ -29,7 +30,8 @@ def signatures_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         if not len(w):
             continue
         h, d = w.hashes(), w.doc_of()
-        long = (w.ends - w.starts) >= LEAST_BYTES
+        digits = np.concatenate([[0], np.cumsum((w.buf >= 48) & (w.buf <= 57))])
+        long = ((w.ends - w.starts) >= LEAST_BYTES) | (digits[w.ends] > digits[w.starts])
         has_long = np.bincount(d[long], minlength=j - i) > 0
         use = long | ~has_long[d]
         key = np.sort((d[use].astype(np.uint64) << np.uint64(44)) | (h[use] >> np.uint64(20)))
@@ -51,7 +53,7 @@ def signatures_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out, some
 
 
-_SIG = pa.schema([("doc_id", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
+_SIG = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
 
 
 def _signature_batches(batches):
@@ -59,13 +61,13 @@ def _signature_batches(batches):
         raw, offsets, _ = tc.text_buffers(pc.utf8_lower(batch.column("text")))
         sig, some = signatures_of(raw, offsets)
         s = sig.view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s[:, 0], mask=~some), pa.array(s[:, 1], mask=~some)], schema=_SIG)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(s[:, 0], mask=~some), pa.array(s[:, 1], mask=~some)], schema=_SIG)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, s0, s1): 128 bits of each document, null where it has no word or no text."""
+    """(doc_id, th, s0, s1): a hash of each text and its 128 bits, which are null where it has no word or isn't there."""
     tc.ship(docs.sparkSession)
-    return docs.select(tc.long_id().alias("doc_id"), "text").mapInArrow(_signature_batches, "doc_id long, s0 long, s1 long")
+    return docs.select(tc.long_id().alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(_signature_batches, "doc_id long, th long, s0 long, s1 long")
 
 
 def _close(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
@@ -140,40 +142,84 @@ def tiles(counts: dict[int, int], most: int) -> list[tuple[int, int, int, int]]:
     return runs
 
 
+def _links(uniq: DataFrame, radius: int) -> DataFrame:
+    """(node, root) for the nodes of uniq(node, s0, s1, ...) that lie within the radius of another, roots left out."""
+    spark = uniq.sparkSession
+    counted = uniq.select("node", "s0", "s1", (F.bit_count("s0") + F.bit_count("s1")).alias("pop"))
+    counts = {r["pop"]: r["n"] for r in counted.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 129 rows at most
+    runs = tiles(counts, max(TILE, -(-sum(counts.values()) // MOST_TILES)))
+    of_tile = [(t, lo, hi) for at, k, lo, hi in runs for t in range(at, at + k)]
+    pairs = [(n, i, j) for n, (i, j) in enumerate((i, j) for i, lo, hi in of_tile for j, lo2, hi2 in of_tile if i <= j and lo2 - hi <= radius)]
+    if not pairs:
+        return spark.createDataFrame([], "node long, root long")
+    run_of = F.broadcast(spark.createDataFrame([(p, at, k) for at, k, lo, hi in runs for p in counts if lo <= p <= hi], "pop int, at int, k int"))
+    placed = counted.join(run_of, "pop").select("s0", "s1", F.col("node").alias("rep"), (F.col("at") + F.pmod(F.xxhash64("s0", "s1"), F.col("k")).cast("int")).alias("tile"))
+    plan = F.broadcast(spark.createDataFrame(pairs, "pair int, i int, j int"))
+    left = placed.join(plan, F.col("tile") == F.col("i")).select("pair", "s0", "s1", "rep", F.lit(0).alias("side"))
+    right = placed.join(plan.where("i < j"), F.col("tile") == F.col("j")).select("pair", "s0", "s1", "rep", F.lit(1).alias("side"))
+    spread = left.unionByName(right).repartition(min(len(pairs), 4 * tc.partitions(spark)), "pair")
+    return components(spread.groupBy("pair").applyInArrow(_tile_pair(radius), "a long, b long"), "a", "b")
+
+
+def _grouped(sig: DataFrame, radius: int) -> DataFrame:
+    """(s0, s1, lead, top, size) of each signature: the (doc_id, th) that its group comes down to, the group's largest doc_id and
+    its number of texts. sig: (doc_id, th, s0, s1) without nulls, a row a text."""
+    # numbered once they are written, so a signature's number is the same wherever it is read; doc_ids wouldn't do, as one may have several texts
+    uniq = tc.cut(sig.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.max("doc_id").alias("top"), F.count("*").alias("size")).withColumn("node", F.monotonically_increasing_id()))
+    member = uniq.join(_links(uniq, radius), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    group = member.groupBy("root").agg(F.min("rep").alias("lead"), F.max("top").alias("top"), F.sum("size").alias("size"))
+    return member.select("s0", "s1", "root").join(group, "root").drop("root")
+
+
 def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, group_id, kept) of every document that has a near-duplicate; one of each group is kept.
 
     Documents whose 128-bit SimHash differs in at most ``radius`` bits are near-duplicates, and groups are the
     connected components of that relation; group_id is the smallest doc_id, which is the one kept. Features are
-    the distinct lower-cased words of at least four bytes, or all words where no word is so long, so case,
+    the distinct lower-cased words of at least four bytes or with a digit, or all words where there is no such word, so case,
     punctuation, order and repetition don't matter. Every distinct signature meets every other one: tiles are
     runs of population counts, and a tile pair whose counts differ by more than the radius is skipped, which
     loses nothing since population counts differ by no more than the distance.
 
     Rows without text, without a word or without doc_id have no group and aren't returned; an empty table gives
-    no rows. Repeated rows are one document, ties and copies share a group however many there are, and other
+    no rows. A very long text counts in full. Repeated rows are one document; texts of one doc_id that differ in signature are judged
+    apart, each with a row of its own, of which one at most is kept in a group. Ties and copies share a group however many there are, and other
     columns aren't read.
     """
-    spark = docs.sparkSession
-    sig = tc.table(signatures(docs).where("doc_id is not null and s0 is not null"), "simhash")
-    uniq = tc.cut(sig.groupBy("s0", "s1").agg(F.min("doc_id").alias("rep"), (F.min("doc_id") != F.max("doc_id")).alias("many")))
-    counted = uniq.withColumn("pop", F.bit_count("s0") + F.bit_count("s1"))
-    counts = {r["pop"]: r["n"] for r in counted.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 129 rows at most
-    runs = tiles(counts, max(TILE, -(-sum(counts.values()) // MOST_TILES)))
-    of_tile = [(t, lo, hi) for at, k, lo, hi in runs for t in range(at, at + k)]
-    pairs = [(n, i, j) for n, (i, j) in enumerate((i, j) for i, lo, hi in of_tile for j, lo2, hi2 in of_tile if i <= j and lo2 - hi <= radius)]
-    if not pairs:
-        return spark.createDataFrame([], "doc_id long, group_id long, kept boolean")
-    run_of = F.broadcast(spark.createDataFrame([(p, at, k) for at, k, lo, hi in runs for p in counts if lo <= p <= hi], "pop int, at int, k int"))
-    placed = counted.join(run_of, "pop").select("s0", "s1", "rep", (F.col("at") + F.pmod(F.xxhash64("s0", "s1"), F.col("k")).cast("int")).alias("tile"))
-    plan = F.broadcast(spark.createDataFrame(pairs, "pair int, i int, j int"))
-    left = placed.join(plan, F.col("tile") == F.col("i")).select("pair", "s0", "s1", "rep", F.lit(0).alias("side"))
-    right = placed.join(plan.where("i < j"), F.col("tile") == F.col("j")).select("pair", "s0", "s1", "rep", F.lit(1).alias("side"))
-    spread = left.unionByName(right).repartition(min(len(pairs), 4 * tc.partitions(spark)), "pair")
-    edges = spread.groupBy("pair").applyInArrow(_tile_pair(radius), "a long, b long")
-    roots = components(edges, "a", "b")
-    member = uniq.join(roots, uniq["rep"] == roots["node"], "left")
-    member = member.select("s0", "s1", F.coalesce("root", "rep").alias("group_id"), "many", F.col("root").isNotNull().alias("moved"))
-    hubs = roots.select(F.col("root").alias("group_id")).distinct().withColumn("hub", F.lit(True))
-    grouped = member.join(hubs, "group_id", "left").where("many or moved or hub").select("s0", "s1", "group_id")
-    return sig.join(grouped, ["s0", "s1"]).select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept")).distinct()
+    sig = tc.table(signatures(docs).where("doc_id is not null and s0 is not null").distinct(), "simhash")
+    group = _grouped(sig, radius).where("lead.doc_id < top")
+    kept = (F.col("doc_id") == F.col("lead.doc_id")) & (F.col("th") == F.col("lead.th"))
+    return sig.join(group, ["s0", "s1"]).select("doc_id", F.col("lead.doc_id").alias("group_id"), kept.alias("kept")).distinct()
+
+
+MOST_BROADCAST = 1_000_000  # (doc_id, hash) pairs of rows that go; more are joined by shuffle
+
+
+def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each group of ``simhash_groups``: of the smallest doc_id, and of its texts in the group that of the least hash.
+
+    Rows are dropped, not doc_ids: another text of a doc_id stays if it leads its own group. Of rows that repeat both doc_id and
+    text one stays. Rows without doc_id, text or words have no group and stay as they are, very long texts count in full. Columns keep
+    their names, order and values, whatever they are called; an empty table stays one.
+
+    Texts aren't shuffled where the rows to drop fit in a broadcast, whose size is looked at first.
+    """
+    sig = signatures(docs).where("doc_id is not null and s0 is not null").groupBy("doc_id", "th", "s0", "s1").agg(F.count("*").alias("rows"))
+    sig = tc.table(sig, "simhash")
+    group = _grouped(sig, radius).where("size > 1").select("s0", "s1", "lead")
+    gone = tc.cut(sig.join(group, ["s0", "s1"]).where((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("th") != F.col("lead.th"))).select("doc_id", "th"))
+    own, text, row = free(docs.columns, "__id", "__th", "__row")
+    keyed = docs.select("*", tc.long_id().alias(own), F.xxhash64("text").alias(text))
+
+    def matched(keys: DataFrame, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+        return keyed.join(keys, (keyed[own] == keys["doc_id"]) & (keyed[text] == keys["th"]), how)
+
+    left = matched(gone, "left_anti")
+    twice = tc.cut(sig.where("rows > 1").select("doc_id", "th").join(gone, ["doc_id", "th"], "left_anti"))
+    if twice.limit(1).count():
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        one = matched(twice, "left_semi").groupBy(own, text).agg(F.first(F.struct(*columns)).alias(row)).select(*[F.col(row).getField(c).alias(c) for c in docs.columns])
+        keyed = left
+        return matched(twice, "left_anti").select(*columns).unionByName(one)
+    return left.drop(own, text)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from setaudit.llm import textcore as tc
 
 ERROR_RATE = 0.05  # edits allowed, as a share of an item's normalised length
-LEAST_CHARS = 8  # shorter normalised items would match everywhere and are left out
+WHOLE_WORDS = 8  # items of fewer normalised characters, which are parts of many words, match as whole words only
 CHUNK_CHARS = 4_000_000  # item text that one automaton holds; a larger benchmark takes several passes over the documents
 
 _NORMAL = np.arange(256, dtype=np.uint8)
@@ -83,7 +83,7 @@ class Matcher:
         seen: dict[str, int] = {}
         wanted: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            if len(text) < LEAST_CHARS:
+            if not text:
                 continue
             if text in seen:  # equal items are looked for once
                 self.same[seen[text]].append(item_id)
@@ -92,7 +92,7 @@ class Matcher:
             seen[text] = n
             self.items.append((text, budget))
             self.same.append([item_id])
-            for offset, piece in pieces(text, budget):
+            for offset, piece in [(-1, f" {text} ")] if len(text) < WHOLE_WORDS else pieces(text, budget):
                 wanted.setdefault(piece, []).append((n, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in wanted.items():
@@ -105,26 +105,35 @@ class Matcher:
         if not self.items or not text:
             return []
         windows: dict[int, list[tuple[int, int]]] = {}
-        for last, (size, uses) in self.automaton.iter(text):
+        best: dict[int, tuple[int, int]] = {}
+        for last, (size, uses) in self.automaton.iter(f" {text} "):  # places are one off in the padded text
             for n, offset in uses:
                 item, budget = self.items[n]
-                begin = last + 1 - size - offset
+                begin = last - size - offset
+                if offset < 0:
+                    best.setdefault(n, (0, begin + len(item)))
+                    continue
                 windows.setdefault(n, []).append((max(0, begin - budget), min(len(text), begin + len(item) + budget)))
-        out = []
         for n, spans in windows.items():
             item, budget = self.items[n]
-            best = None
-            done = -1
-            for lo, hi in sorted(set(spans)):
-                if hi <= done:
-                    continue
-                done = hi
-                for end, distance in myers(item, text[lo:hi], budget):
-                    if best is None or (distance, lo + end) < best:
-                        best = (distance, lo + end)
-            if best:
-                out += [(i, *best) for i in self.same[n]]
-        return out
+            for lo, hi in united(spans):
+                found = [(distance, lo + end) for end, distance in myers(item, text[lo:hi], budget)]
+                if found and (n not in best or min(found) < best[n]):
+                    best[n] = min(found)
+                if n in best and best[n][0] == 0:  # no later one can be nearer, and the leftmost counts
+                    break
+        return [(i, *best[n]) for n in sorted(best) for i in self.same[n]]
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap as one: a text that hits an item's pieces again and again is gone through once."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int32())])
@@ -142,7 +151,7 @@ def _search(matcher):
 
 
 def _chunks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """Items, normalised, in chunks that one automaton can hold; a chunk is fetched by its own query."""
+    """Items, normalised, in chunks that one automaton can hold; a chunk is fetched by its own query. No item: one empty chunk."""
     rows = benchmark.select(tc.long_id("item_id").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = int(-(-total // CHUNK_CHARS)) or 1
@@ -157,9 +166,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     Both are compared lower-cased, with every run of ASCII characters but letters and digits as one space. An item
     of m such characters may have floor(rate * m) edits. Cut in one piece more than that, it has a piece without
     an edit in any match, so exact hits of pieces miss nothing; around each hit Myers' algorithm finds the least
-    distance of the item to any substring. ``end`` is where that substring ends in the normalised document.
+    distance of the item to any substring. Items of fewer than 8 such characters have no edit to spare and match as whole
+    words only. ``end`` is where the match ends in the normalised document, the leftmost place of equal distances.
 
-    Rows without doc_id or text, and items without id or of fewer than 8 normalised characters, match nothing;
+    Rows without doc_id or text, and items without id, text or a letter, match nothing;
     empty tables give no rows. Equal items are each reported, repeated rows count once, very long documents are
     read in full, and other columns aren't read. A benchmark of more than 4 million characters is searched for
     in as many passes as it has such chunks.
@@ -175,6 +185,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "end")).alias("m")).select("doc_id", "item_id", "m.distance", "m.end")
 
 
+def _clean(matcher, text_at: int):
+    def run(batches):
+        for batch in batches:
+            held = [bool(t) and bool(matcher.value.matches(t)) for t in normalised(batch.column(text_at).fill_null(""))]
+            yield batch.filter(pa.array([not h for h in held], pa.bool_()))
+
+    return run
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of docs that hold no benchmark item, see ``contaminated``; each row is judged by its own text, without a shuffle.
+
+    Rows without text stay, rows without doc_id are judged like others, repeated rows stay or go together. Columns keep their names,
+    order and values, whatever they are called; an empty table stays one.
+    """
+    spark = docs.sparkSession
+    tc.ship(spark)
+    for items in _chunks(benchmark):
+        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(_Lazy(items, rate)), docs.columns.index("text")), docs.schema)
+    return docs
+
+
 class _Lazy:
     """Items that become an automaton where they are used first in a process."""
 

@@ -87,11 +87,28 @@ def test_decontamination(spark):
     want = {}
     for (d, text), (i, item) in ((x, y) for x in docs for y in items):
         a, b = decontaminate.normalised(pa.array([item, text]))
-        if len(a) >= decontaminate.LEAST_CHARS and (k := distance(a, b)) <= int(len(a) * 0.08):
+        if (k := distance(a, b)) <= int(len(a) * 0.08):
             want[d, i] = k
     assert any(want.values()) and got == want
 
 
+def test_short_items_match_whole_words(spark):
+    items = spark.createDataFrame([(1, "Cat!"), (2, "漢字"), (3, "--"), (4, "a b")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "cat"), (2, "the CAT, sat"), (3, "concatenate"), (4, "x 漢字 y"), (5, "漢字x"), (6, "A-b"), (7, "aa b")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance, r.end) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1, 0, 3), (2, 1, 0, 7), (4, 2, 0, 4), (6, 4, 0, 3)}
+    assert {r.doc_id for r in decontaminate.without_contaminated(docs, items).collect()} == {3, 5, 7}
+
+
+def test_best_match_of_several(spark):
+    item = "abcdefghij klmnopqrst uvwxyz0123 456789"
+    text = "x " * 20 + item.replace("m", "") + " y " * 30 + item + " z " + item
+    (row,) = decontaminate.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    plain = decontaminate.normalised(pa.array([text]))[0]
+    assert (row.distance, row.end) == (0, plain.index(item) + len(item))
+    assert decontaminate.united([(5, 9), (0, 3), (8, 12), (3, 4)]) == [(0, 4), (5, 12)]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 32))
@@ -187,6 +204,34 @@ def test_simhash(spark):
     assert {(r.doc_id, r.group_id) for r in simhash.simhash_groups(docs).collect()} == want
 
 
+def test_signature_by_the_definition():
+    """128 majority votes over the bits of the features' hashes, worked out word by word."""
+    texts = ["One common WORD, one word; of 12 things", "a b c", "!!", "same same words words again", ""]
+    sig, some = simhash.signatures_of(*tc.text_buffers(pa.array([t.lower() for t in texts]))[:2])
+    assert some.tolist() == [True, True, False, True, False]
+    for text, got in zip(texts, sig):
+        found = {}
+        for w in "".join(c if c.isalnum() else " " for c in text.lower()).split():
+            h = tc.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), "alnum").hashes()[0]
+            found[int(h) >> 20] = len(w) >= simhash.LEAST_BYTES or any(c.isdigit() for c in w)
+        used = [h for h, good in found.items() if good] or list(found)
+        votes = np.zeros(128, int)
+        for h in used:
+            one = tc.mix(np.array([h], np.uint64))
+            two = tc.mix(one ^ np.uint64(0x5851F42D4C957F2D))
+            votes += np.unpackbits(np.concatenate([one, two]).view(np.uint8)).astype(int)
+        assert (np.unpackbits(got.view(np.uint8)) == (2 * votes > len(used))).all()
+
+
+def test_numbers_tell_templates_apart():
+    rng = random.Random(8)
+    form = "order {} of {} units at {} for customer {} by carrier {} weight {} volume {} code {}"
+    texts = [form.format(*[rng.randrange(100, 1000) for _ in range(8)]) for _ in range(40)]
+    sig, _ = simhash.signatures_of(*tc.text_buffers(pa.array(texts))[:2])
+    apart = [sum(int(np.bitwise_count(x ^ y)) for x, y in zip(a, b)) for k, a in enumerate(sig) for b in sig[:k]]
+    assert np.mean(np.array(apart) > simhash.RADIUS) > 0.95
+
+
 def test_simhash_tiles_leave_no_close_pair_out():
     rng = np.random.default_rng(4)
     sig = rng.integers(0, 2**63, (400, 2)).astype(np.uint64)

@@ -47,7 +47,7 @@ def test_substring(docs, none):
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE), (None, PASSAGE), (3, None), (4, "ok"), (5, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(docs, items).collect()}
-    assert got == {(d, i, 0) for d in (5, 6) for i in (1, 2)}
+    assert got == {(d, i, 0) for d in (5, 6) for i in (1, 2)} | {(9, 4, 0)}
     assert decontaminate.contaminated(none, items).count() == 0 == decontaminate.contaminated(docs, items.limit(0)).count()
 
 
@@ -83,6 +83,15 @@ def test_simhash(docs, none):
     assert simhash.simhash_groups(none).count() == 0
 
 
+def test_simhash_of_doc_ids_with_several_texts(spark):
+    a, b = "the first text has seven common words", "quite another story with nothing alike inside"
+    rows = [(3, b), (5, a), (5, b), (7, a), (5, a), (None, a), (8, "a lonely document stands here")]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in simhash.simhash_groups(t).collect()} == {(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False)}
+    left = simhash.without_near_duplicates(t).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(0, a), (3, b), (5, a), (8, "a lonely document stands here")])
+
+
 def test_simhash_ties(spark):
     rows = [(i, "one text that thousands of documents have") for i in range(3000)]
     got = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -2,60 +2,60 @@
 
 The last stage returns the mixing table instead. ORACLE_SQL is None: a trained classifier, SimHash components, edit
 distances and fitted rates aren't SQL; tests/llm holds run() against brute-force versions of its stages.
+
+What each stage gives for odd rows is in the docstring of the operator that it calls. In all of them columns besides
+doc_id, text, source and n_chars are carried along under whatever name, and an empty table stays one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
-from pyspark.sql import functions as F
 
 from setaudit.llm import textcore as tc
-from setaudit.llm.decontaminate import contaminated
+from setaudit.llm.decontaminate import without_contaminated
 from setaudit.llm.mixing import mixing_rates
 from setaudit.llm.quality import quality_stage
-from setaudit.llm.simhash import simhash_groups
-from setaudit.llm.substring import repeated_passages, without_passages
-
-MOST_BROADCAST = 1_000_000  # doc_ids; a larger set is joined by shuffle
-
-
-def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these doc_ids; rows without doc_id stay."""
-    ids = tc.cut(ids.select(F.col("doc_id").alias("__id")).distinct())
-    if ids.count() <= MOST_BROADCAST:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].cast("long") == ids["__id"], "left_anti")
+from setaudit.llm.simhash import without_near_duplicates
+from setaudit.llm.substring import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go, as do those without a word."""
+    """Documents that the classifier rejects go, as do those without a word: null, empty or punctuation only.
+
+    Each row is judged by itself, whole text and all: repeated rows stay or go together, rows without doc_id are judged too.
+    """
     return quality_stage(docs, tc.read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest doc_id, and of rows that repeat a doc_id one."""
-    kept = _drop(docs, simhash_groups(docs).where("not kept"))
-    twice = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not twice:
-        return kept
-    order = Window.partitionBy("doc_id").orderBy("text")
-    nth = kept.withColumn("__nth", F.row_number().over(order))
-    return nth.where("__nth = 1 or doc_id is null").drop("__nth")
+    """One row of each group of near-duplicates stays, of the smallest doc_id; repeated rows are near-duplicates.
+
+    Texts that share a doc_id are judged apart. Rows without doc_id, text or words stay.
+    """
+    return without_near_duplicates(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more stay in the document of the smallest doc_id and are cut from all others."""
-    return without_passages(docs, repeated_passages(docs, earlier=True))
+    """Passages of 50 words or more stay in the document of the smallest doc_id and are cut from all others.
+
+    A document of which nothing is left goes; texts that share a doc_id are cut apart. Rows without doc_id or text stay.
+    """
+    return without_repeats(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, edits allowed for, go."""
-    return _drop(docs, contaminated(docs, tc.read(spark, sf_dir, "benchmark")))
+    """Rows whose text holds a benchmark item, edits allowed for, go.
+
+    Each row is judged by its own text, with or without doc_id. Rows without text stay.
+    """
+    return without_contaminated(docs, tc.read(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixing table; the classifier is fitted on the labelled rows of the documents table itself."""
+    """The mixing table, a row for each row; the classifier is fitted on the labelled rows of the documents table itself.
+
+    Rows without words have posteriors 0 and rate 1; repeated rows and null ids stay.
+    """
     return mixing_rates(docs, tc.read(spark, sf_dir, "documents"), tc.read(spark, sf_dir, "labels"))
 
 
@@ -66,7 +66,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tc.read(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = tc.table(docs, f"stage-{name}")
-    return docs
+        out = stage(spark, docs, sf_dir)
+        if n == len(STAGES) - 1:
+            return out
+        out = tc.table(out, f"stage-{name}")
+        tc.drop(docs)
+        docs = out

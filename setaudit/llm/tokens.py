@@ -16,13 +16,16 @@ MOST_CACHED = 400_000  # words held at once; the cache starts anew beyond that,
 
 _IRREGULAR = re.compile(r" (?=\s|$)")
 _SPLIT = re.compile(r" (?=\S)")
+_LONG = 64  # characters of a piece that is cut further where the pattern always cuts: from text to white space, and after CJK punctuation
+_FINE = re.compile(r"(?<=\S)(?=[ \t\n\r\f\v])|(?<=[，。！？；：、])(?=[^\W_])")
 
 
 class Encoder:
     """Ids of texts as little-endian uint16 bytes.
 
     The pattern that cuts a text for byte-pair encoding always cuts before a space that a non-space follows, so
-    texts are cut there and each piece is encoded on its own, from a cache where possible.
+    texts are cut there, and long pieces at other places where it always cuts; each piece is encoded on its own, from a cache
+    where possible.
     """
 
     def __init__(self, folder: str = TOKENIZERS):
@@ -44,11 +47,14 @@ class Encoder:
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        """The text cut before every space that a non-space follows; joined they are the text again."""
+        """The text cut before every space that a non-space follows, long pieces further; joined they are the text again."""
         if not text:
             return []
         parts = text.split(" ") if _IRREGULAR.search(text) is None else _SPLIT.split(text)
-        return ([parts[0]] if parts[0] else []) + [" " + p for p in parts[1:]]
+        pieces = ([parts[0]] if parts[0] else []) + [" " + p for p in parts[1:]]
+        if len(max(pieces, key=len)) <= _LONG:
+            return pieces
+        return [x for p in pieces for x in ((p,) if len(p) <= _LONG else filter(None, _FINE.split(p)))]
 
     def encode(self, text: str) -> bytes:
         cache, missing = self.cache, self.ids

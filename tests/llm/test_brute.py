@@ -250,9 +250,9 @@ def test_mixing_meets_targets(spark):
 
 def test_edits_equal_a_full_count():
     rng, counts = random.Random(6), edits.Counts(encoder())
-    pool = ["  ", " ", "a", "word", " the", "\n\n", "'ll", "99", "é", "漢", ".", "\t", "don't", ""]
-    for _ in range(150):
-        text = "".join(rng.choices(pool, k=rng.randint(0, 60)))
+    pool = ["  ", " ", "a", "word", " the", "\n\n", "'ll", "99", "é", "漢", ".", "\t", "don't", "", "\r\n", "，", "。x", "\x1c", "\u3000", "longish\nline"]
+    for _ in range(300):
+        text = "".join(rng.choices(pool, k=rng.choice([10, 60, 600])))
         tree = edits.TokenTree(text, counts)
         for _ in range(6):
             s, n, new = rng.randint(0, len(text) + 2), rng.randint(0, 9), "".join(rng.choices(pool, k=rng.randint(0, 3)))
@@ -263,6 +263,28 @@ def test_edits_equal_a_full_count():
             assert tree.tokens == len(counts.enc.encoding.encode_ordinary(text)), text
 
 
+def test_edits_cost_what_they_touch():
+    counts = edits.Counts(encoder())
+    tree, again = edits.TokenTree("", counts), 0
+    for k in range(10_000):
+        again += tree.edit(tree.chars, 0, f" w{k % 97}")
+    assert again <= 4 * 10_000 and tree.tokens == len(counts.enc.encoding.encode_ordinary(tree.text()))
+    tree = edits.TokenTree("start end", counts)
+    tree.edit(5, 0, " word" * 20_000)
+    assert tree.edit(50_000, 1, "x") <= 6
+    lines = "\n".join(f"line{k}" for k in range(5_000))
+    assert edits.TokenTree(lines, counts).edit(20_000, 2, "?") <= 6
+    tree = edits.TokenTree("汉字，句子。" * 4_000, counts)
+    assert tree.edit(9_000, 1, "新") <= 6 and tree.tokens == len(counts.enc.encoding.encode_ordinary(tree.text()))
+    rng, text = random.Random(3), ""
+    tree = edits.TokenTree(text, counts)
+    for _ in range(3_000):  # grows to a few thousand pieces and is mostly taken away again
+        s, n, new = rng.randint(0, len(text)), rng.choice([0, 3, 40]) if len(text) > 2_000 else 0, "".join(rng.choices([" a", "\nb", "  ", "x9", "'s"], k=rng.randint(0, 12)))
+        tree.edit(s, n, new)
+        text = text[:s] + new + text[s + n :]
+    assert tree.text() == text and tree.tokens == len(counts.enc.encoding.encode_ordinary(text))
+
+
 def test_chat_round_trip():
     rng = random.Random(7)
     pool = ["<|end|>\n", "<|turn|>", "<\\|end|>\n", "<|", "\\", "|", "\n", "user", "!e", "<|end|>", "", " "]

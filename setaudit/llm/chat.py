@@ -88,11 +88,14 @@ def chat_format(conversations: DataFrame) -> DataFrame:
 
     Rendered text always parses back to the same roles and contents: a turn whose content holds the end marker is
     escaped, a role that isn't a plain word is percent-encoded, and null roles and texts have marks of their own, so
-    they stay apart from empty ones. A null turn number comes first. Rows without conv_id are one conversation;
-    repeated rows are repeated turns; an empty table gives no rows, long texts are kept whole, and other columns
+    they stay apart from empty ones. A null turn number comes first. Rows without conv_id belong to no conversation and are one of
+    a single turn each, so they never meet in one task; a conversation, however long, is one row of the result and so one value.
+    Repeated rows are repeated turns, turns of equal number come in the order of role and text; an empty table gives no rows, long texts are kept whole, and other columns
     aren't read.
     """
     tc.ship(conversations.sparkSession)
     rows = conversations.select(tc.long_id("conv_id").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turn = F.struct("turn", "role", "text")
+    grouped = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    grouped = grouped.unionByName(rows.where("conv_id is null").select("conv_id", F.array(turn).alias("turns")))
     return grouped.mapInArrow(_format, "conv_id long, turns long, escaped long, rendered string")

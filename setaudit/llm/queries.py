@@ -108,5 +108,5 @@ SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE contains(text, '<|end|
   string_agg('<|turn|>' || coalesce(role, '~') || CASE WHEN text IS NULL THEN '!n' WHEN contains(text, '<|end|>' || chr(10)) THEN '!e' ELSE '' END || chr(10) ||
     CASE WHEN text IS NULL THEN '' WHEN contains(text, '<|end|>' || chr(10)) THEN regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') ELSE text END || '<|end|>' || chr(10),
     '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
-FROM conversations GROUP BY conv_id""",
+FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations) GROUP BY conv_id, alone""",
 }

@@ -118,6 +118,10 @@ def test_chat(spark):
     got = {r.conv_id: r for r in chat.chat_format(t.withColumnRenamed("turn", "turn").selectExpr("*", "1 as rendered", "2 as turns")).collect()}
     assert chat.parse(got[1].rendered) == [(None, None), ("user", "a<|end|>\nb"), ("x y!", "<\\|end|>\n"), ("x y!", "<\\|end|>\n")]
     assert got[None].turns == 1 and chat.parse(got[2].rendered) == [("", "")]
+    alone = spark.createDataFrame([(None, 1, "user", "hi"), (None, 1, "user", "hi"), (None, None, None, None)], t.schema)
+    assert sorted(r.turns for r in chat.chat_format(alone).collect()) == [1, 1, 1]
+    (long,) = chat.chat_format(spark.createDataFrame([(1, k, "user", "<|end|>\n" * 50_000) for k in range(3)], t.schema)).collect()
+    assert long.escaped == 3 and chat.parse(long.rendered) == [("user", "<|end|>\n" * 50_000)] * 3
     assert chat.chat_format(t.limit(0)).count() == 0
 
 

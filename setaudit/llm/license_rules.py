@@ -197,5 +197,6 @@ RULES: list[tuple[str, int, str | tuple[str, ...], str]] = [
     ("Unknown", 20, ("see license", "see licence"), r"\bsee licen[sc]e(?: file| in)?\b"),
 ]
 
+TAG = "spdx-license-identifier"  # rules of this keyword match within the rest of a line that follows it and a colon
 for _id in _SPDX:
-    RULES.append((_id, 90, "spdx-license-identifier", r"(?<=\bspdx-license-identifier:[^\n]{0,120}?)(?<![\w.+-])" + _id.replace(".", r"\.") + r"(?![\w+-])(?!\.\d)"))
+    RULES.append((_id, 90, TAG, r"(?<![\w.+-])" + _id.replace(".", r"\.") + r"(?![\w+-])(?!\.\d)"))

@@ -1,5 +1,6 @@
 """The license scan's filter against no filter, on matches made from every rule."""
 
+import random
 from re import _constants as c
 from re import _parser
 
@@ -96,3 +97,27 @@ def test_windows_end():
     far = "GNU General Public License " + "word " * 30 + "version 3 of the License, or any later version"
     assert [d[0] for d in SCANNER.scan(far)] == ["GPL"]
     assert [d[0] for d in SCANNER.scan("may not be copied " + " *\n" * 50_000)] == []
+
+
+def test_ids_far_behind_their_tag():
+    line = "SPDX-License-Identifier: " + " OR ".join(f"LicenseRef-{k}" for k in range(60)) + " OR Apache-2.0"
+    assert [d[0] for d in Scanner().scan(line + "\nMIT")] == ["Apache-2.0"]
+    assert [d[0] for d in Scanner().scan("spdx-license-identifier: (MIT AND BSD-3-Clause). SPDX-License-Identifier: ISC")] == ["MIT", "BSD-3-Clause", "ISC"]
+
+
+def test_many_detections_in_time():
+    import time
+
+    text = "(c) 2020\n" * 100_000
+    began = time.time()
+    assert len(Scanner().scan(text)) == 100_000 and time.time() - began < 30
+
+
+def test_resolve_by_all_pairs():
+    rng = random.Random(4)
+    for _ in range(300):
+        found = [(rng.choice("ABC"), rng.choice([10, 20, 20, 30]), a, a + rng.randint(1, 9)) for a in (rng.randint(0, 20) for _ in range(rng.randint(0, 14)))]
+        strong = lambda d: (-d[1], d[2] - d[3], d[2], d[0])
+        every = set(found)
+        want = {d for d in every if not any(strong(k) < strong(d) and k[2] <= d[2] and d[3] <= k[3] for k in every)}
+        assert set(resolve(found)) == want

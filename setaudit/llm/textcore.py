@@ -92,6 +92,17 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of a byte buffer, from one pass over it."""
+    up, down = _BYTE_POWERS.get(len(buf) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        h = (total[ends] - total[starts]) * down[starts]
+        h += (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mix(h)
+
+
 class Words:
     """Words of some documents: byte spans relative to ``buf``, hashes, and each document's range of words."""
 
@@ -114,13 +125,7 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        up, down = _BYTE_POWERS.get(len(self.buf) + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(self.buf) + 1, np.uint64)
-            np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-            h = (total[self.ends] - total[self.starts]) * down[self.starts]
-            h += (self.ends - self.starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return mix(h)
+        return span_hashes(self.buf, self.starts, self.ends)
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.doc_off) - 1), np.diff(self.bounds))

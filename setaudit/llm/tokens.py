@@ -9,6 +9,8 @@ import re
 import numpy as np
 import tiktoken
 
+from setaudit.llm import textcore as tc
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -62,6 +64,62 @@ class Encoder:
         return b"".join([cache.get(p) or missing(p) for p in pieces])
 
 
+_JOINS = np.zeros(256, bool)  # bytes that white space can begin with: a space before one of them may not be a place to cut
+_JOINS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+class BatchEncoder:
+    """Ids of all texts of a batch at once: spans of bytes are hashed together, and each distinct one is encoded once.
+
+    Texts are cut before spaces that a byte follows which can't begin white space, where the pattern always cuts.
+    Spans are told apart by 64 bits of hash next to their length.
+    """
+
+    def __init__(self, enc: Encoder):
+        self.enc, self.known = enc, {}
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(uint16 ids of the documents one after the other, ids of each) of UTF-8 documents within raw."""
+        ids, counts = [], []
+        for i, j in tc.slices(offsets, 1 << 20):
+            got, n = self._slice(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            ids.append(got)
+            counts.append(n)
+        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, "<u2"), np.zeros(0, np.int64))
+
+    def _slice(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(buf)
+        if not n:
+            return np.zeros(0, "<u2"), np.zeros(len(off) - 1, np.int64)
+        cut = np.zeros(n + 1, bool)
+        cut[: n - 1] = (buf[:-1] == 32) & ~_JOINS[buf[1:]]
+        cut[off] = True
+        at = np.flatnonzero(cut)
+        starts, ends = at[:-1], at[1:]
+        keys = tc.span_hashes(buf, starts, ends)
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        known, pieces = self.known, []
+        for key, k in zip(distinct.tolist(), first.tolist()):
+            got = known.get(key)
+            if got is None:
+                a, b = starts[k], ends[k]
+                got = self.enc.encode(buf[a:b].tobytes().decode())
+                if b - a < 48:
+                    if len(known) >= MOST_CACHED:
+                        known.clear()
+                    known[key] = got
+            pieces.append(got)
+        flat = np.frombuffer(b"".join(pieces), "<u2")
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
+        begin = (np.cumsum(size) - size)[inverse]
+        size = size[inverse]
+        before = np.cumsum(size) - size
+        total = int(size.sum())
+        out = flat[np.repeat(begin - before, size) + np.arange(total)]
+        cum = np.concatenate([before, [total]])
+        return out, np.diff(cum[np.searchsorted(starts, off, "left")])
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -69,7 +69,7 @@ def test_embeddings_in_a_hot_bucket(spark):
 
 
 def test_lm(docs, none):
-    got = lm.lm_scores(docs, every=1).collect()
+    got = lm.lm_scores(docs).collect()
     assert len(got) == len(ROWS)
     by = {r.doc_id: r for r in got}
     assert by[2].tokens == 0 and by[2].log_prob == 0 and by[2].nll is None and by[1].nll is None

@@ -1,32 +1,108 @@
-"""The language model's training reads every window of every document."""
+"""The language model's training reads every window of every document, once."""
 
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from setaudit.llm import lm
+from setaudit.llm import textcore as tc
+from setaudit.llm.tokens import BatchEncoder, encoder
 
 
-def test_every_window_is_trained_on():
+def test_every_window_is_trained_on_once():
     rng = np.random.default_rng(2)
-    n = np.array([0, 1, 31, 32, 33, 57, 400, 400, 5000])
+    n = np.array([0, 1, 31, 63, 64, 65, 400, 400, 50_000])
     ids = [rng.integers(0, 500, k).astype("<u2") for k in n]
     ids[7] = ids[6]  # copies count each
     batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids], pa.binary())], names=["ids"])
-    for seed in range(lm.ROUNDS):
+    doc, start = lm.windows(n, lm.WINDOW)
+    covered = np.zeros(n.sum(), int)
+    for d, s in zip(doc, start):
+        covered[n[:d].sum() + s : n[:d].sum() + min(n[d], s + lm.WINDOW)] += 1
+    assert (covered == 1).all()
+    seen = 0
+    for turn in range(len(lm.SHARES)):
         shared = SimpleNamespace(value=(lm.initial(), lm.Vocabulary(np.arange(500))))
-        (got,) = lm._train(shared, seed, lm.TRAIN_EVERY)([batch])
-        assert got.column("n").to_pylist() == [len(lm.windows(n)[0])] * 8
+        (got,) = lm._train(shared, turn, lm.SHARES)([batch])
+        assert len(set(got.column("n").to_pylist())) == 1
+        seen += got.column("n")[0].as_py()
+    assert sum(lm.SHARES) == 1 and seen == len(doc)
 
 
-def test_gradients_of_a_batch_are_those_of_its_pieces():
-    rng, k = np.random.default_rng(3), 2 * lm.PIECE + 5
+def test_gradients_by_differences():
+    rng = np.random.default_rng(3)
     w = {name: v.astype(np.float64) for name, v in lm.initial().items()}
-    rows, target = rng.integers(2, 60, (k, lm.WINDOW)), rng.integers(-1, lm.CLASSES, (k, lm.WINDOW))
-    loss, g = lm.gradients(w, rows, target)
-    some = (target >= 0).sum(axis=1)
-    each = [lm.gradients(w, rows[i : i + 1], target[i : i + 1]) for i in range(k)]
-    assert np.isclose(loss, sum(x * m for (x, _), m in zip(each, some)) / some.sum())
-    for name in g:
-        assert np.allclose(g[name], sum(x[name] * m for (_, x), m in zip(each, some)) / some.sum(), atol=1e-6), name
+    rows, target = rng.integers(2, 60, (3, lm.WINDOW)), rng.integers(-1, lm.CLASSES, (3, lm.WINDOW))
+    _, g = lm.gradients(w, rows, target)
+    for name in w:
+        i = (int(rows[0, 3]), 2) if name == "emb" else (5,) if name == "bias" else (1, 2)
+        old, h = w[name][i], 1e-5
+        w[name][i] = old + h
+        up = lm.gradients(w, rows, target)[0]
+        w[name][i] = old - h
+        down = lm.gradients(w, rows, target)[0]
+        w[name][i] = old
+        assert abs((up - down) / (2 * h) - g[name][i]) < 1e-6, name
+
+
+def test_loss_by_the_definition():
+    """Attention and softmax written out position by position."""
+    rng = np.random.default_rng(4)
+    w = {name: v.astype(np.float64) * 3 for name, v in lm.initial().items()}
+    rows = rng.integers(0, 90, (2, lm.WINDOW))
+    got = lm.class_log_probs(w, rows)
+    for b, t in ((0, 0), (0, 1), (1, 17), (1, lm.WINDOW - 1)):
+        x = w["emb"][rows[b]] + w["pos"]
+        e = np.exp([x[t] @ w["q"] @ (x[u] @ w["k"]) / np.sqrt(lm.WIDTH) for u in range(t + 1)])
+        h = x[t] + (e / e.sum()) @ (x[: t + 1] @ w["v"]) @ w["o"]
+        z = h @ w["out"] + w["bias"]
+        assert np.allclose(got[b, t], z - np.log(np.exp(z).sum()))
+    assert np.allclose(lm.class_log_probs(w, rows, 20), got[:, 20:])
+
+
+def test_batches_are_encoded_like_texts():
+    enc, rng = encoder(), np.random.default_rng(5)
+    pool = [" ", "  ", "a", " the", "\n", "\n\n", "'s", "12", "é", "漢字", "，", "\u3000", "\u00a0", "\u2003", "\x1c", " \t", "don't", "\U0001f600", ""]
+    texts = ["", None, " ", "plain words here", *("".join(rng.choice(pool, rng.integers(0, 80))) for _ in range(400)), "x" * 5000, " y" * 300_000]
+    raw, off, _ = tc.text_buffers(pa.array(texts))
+    batch = BatchEncoder(enc)
+    for _ in range(2):  # from an empty and from a filled cache
+        ids, n = batch.encode(raw, off)
+        want = [np.array(enc.encoding.encode_ordinary(t or ""), "<u2") for t in texts]
+        assert n.tolist() == list(map(len, want)) and (ids == np.concatenate(want)).all()
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    docs = tc.read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    return docs, {k: lm.lm_scores(docs.repartition(k, "doc_id")).toPandas().sort_values("doc_id", ignore_index=True) for k in (1, 8)}
+
+
+def test_scores_hardly_depend_on_the_partitioning(scored):
+    _, by = scored
+    mean = {k: (t["nll"] * t["tokens"]).sum() / t["tokens"].sum() for k, t in by.items()}
+    flat = (by[1]["unigram_nll"] * by[1]["tokens"]).sum() / by[1]["tokens"].sum()
+    assert (by[1]["tokens"] == by[8]["tokens"]).all() and abs(mean[1] / mean[8] - 1) < 0.08
+    assert max(mean.values()) < flat - 0.3, (mean, flat)
+
+
+def test_log_prob_of_the_query_from_its_weights(spark):
+    """One partition trains in a fixed order, so its weights can be had again: tokens are then scored one at a time."""
+    docs = tc.read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").coalesce(1)
+    got = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
+    enc = encoder()
+    tokens = docs.select("doc_id", "text").mapInArrow(lm._encode("/opt/tokenizers"), "doc_id long, ids binary")
+    w, voc = lm.train(tokens, enc.size)
+    for r in docs.where("length(text) > 600").limit(3).collect():
+        ids = np.array(enc.encoding.encode_ordinary(r.text))
+        total = 0.0
+        for t in range(len(ids)):
+            k = 0 if t < lm.WINDOW else 1 + (t - lm.WINDOW) // lm.STRIDE
+            a = k * lm.STRIDE
+            rows = np.full(lm.WINDOW, lm.PAD)
+            before = [lm.BOS if u == 0 else voc.row[ids[u - 1]] for u in range(a, t + 1)]
+            rows[: len(before)] = before
+            total += lm.class_log_probs(w, rows[None])[0, t - a, voc.cls[ids[t]]] + voc.log_in[ids[t]]
+        assert np.isclose(total, got[r.doc_id].log_prob, rtol=1e-4) and got[r.doc_id].tokens == len(ids)

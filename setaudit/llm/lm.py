@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from setaudit.llm import textcore as tc
 from setaudit.llm.tokens import TOKENIZERS, BatchEncoder, encoder
 
-WINDOW, STRIDE = 64, 40  # tokens of a context window, and between windows when scoring: all but the first share 24 tokens
+WINDOW, STRIDE = 32, 24  # tokens of a context window, and between windows when scoring: all but the first share 8 tokens
 WIDTH, CLASSES, ROWS = 16, 64, 4096  # of vectors, output classes, embedding rows
-SHARES = (1 / 16, 1 / 16, 1 / 8, 1 / 4, 1 / 2)  # of the windows, by rounds of training: each window has its round, chosen by hash, and is trained on in it
-BATCH = 64  # windows of a step, or that are scored at once: their arrays stay in the cache
+SHARES = (1 / 16, 3 / 16, 3 / 4)  # of the windows, by rounds of training: each window has its round, chosen by hash, and is trained on in it
+BATCH = 128  # windows of a step, or that are scored at once: their arrays stay in the cache
 RATE = 0.03
 BOS, PAD = 0, 1  # embedding rows
 
@@ -116,7 +116,7 @@ def _backward(w: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray):
     loss = float(-np.log(p[at] / total[at[0], 0]).sum()) / n
     p *= some[:, None] / (total * x.dtype.type(n))
     p[at] -= x.dtype.type(1 / n)
-    g = {"out": flat(h).T @ p, "bias": np.ones(len(p), p.dtype) @ p}
+    g = {"out": (p.T @ flat(h)).T, "bias": np.ones(len(p), p.dtype) @ p}
     dh = (p @ w["out"].T).reshape(h.shape)
     g["o"] = flat(c).T @ flat(dh)
     dc = dh @ w["o"].T
@@ -145,7 +145,7 @@ class Adam:
 
     def step(self, g: dict[str, np.ndarray], row: np.ndarray, d: np.ndarray) -> None:
         self.t += 1
-        rate = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        rate = float(self.rate * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t))
         for k, v in g.items():
             self.m[k] += 0.1 * (v - self.m[k])
             self.s[k] += 0.01 * (v * v - self.s[k])
@@ -209,8 +209,12 @@ def _encode(folder: str):
 
 
 def _ids(batch) -> tuple[np.ndarray, np.ndarray]:
-    raw = [x or b"" for x in batch.column("ids").to_pylist()]
-    return np.frombuffer(b"".join(raw), "<u2"), np.array([len(x) // 2 for x in raw], np.int64)
+    """(ids one after the other, ids of each row) from the column's own buffers; a null has none."""
+    col = batch.column("ids").cast(pa.large_binary())
+    _, off, data = col.buffers()
+    bounds = np.frombuffer(off, np.int64, len(col) + 1, col.offset * 8) if len(col) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return np.frombuffer(flat.tobytes(), "<u2"), np.diff(bounds) // 2
 
 
 def _count(size: int):
@@ -322,7 +326,7 @@ def lm_scores(docs: DataFrame, tokenizers: str = TOKENIZERS, shares: tuple[float
     classes; a one-layer causal self-attention model predicts the next token's class, and a token's probability is
     its class's times its share of the class. The model is trained in numpy on every window of all documents, each window once,
     in rounds of local Adam by partition whose weights are averaged. Scoring covers each document with overlapping windows,
-    batched, and takes each token's log-probability (natural) from one window, in which it has at least 24 tokens
+    batched, and takes each token's log-probability (natural) from one window, in which it has at least 8 tokens
     before it or all there are. nll is the mean per token, unigram_nll that of the counts alone.
 
     Since each partition trains on its own rows, the weights follow from how the table is partitioned: the mean nll of a

@@ -7,6 +7,7 @@ import os
 import re
 
 import numpy as np
+import pandas as pd
 import tiktoken
 
 from setaudit.llm import textcore as tc
@@ -97,18 +98,20 @@ class BatchEncoder:
         at = np.flatnonzero(cut)
         starts, ends = at[:-1], at[1:]
         keys = tc.span_hashes(buf, starts, ends)
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        known, pieces = self.known, []
-        for key, k in zip(distinct.tolist(), first.tolist()):
-            got = known.get(key)
-            if got is None:
-                a, b = starts[k], ends[k]
-                got = self.enc.encode(buf[a:b].tobytes().decode())
-                if b - a < 48:
-                    if len(known) >= MOST_CACHED:
-                        known.clear()
-                    known[key] = got
-            pieces.append(got)
+        inverse, distinct = pd.factorize(keys)
+        pieces = list(map(self.known.get, distinct.tolist()))
+        new = [k for k, got in enumerate(pieces) if got is None]
+        if new:
+            first = np.empty(len(distinct), np.int64)
+            first[inverse[::-1]] = np.arange(len(keys) - 1, -1, -1)
+            a, b = starts[first[new]], ends[first[new]]
+            texts = [buf[x:y].tobytes().decode() for x, y in zip(a.tolist(), b.tolist())]
+            for k, key, size, ids in zip(new, distinct[new].tolist(), (b - a).tolist(), map(self.enc.encoding.encode_ordinary, texts)):
+                pieces[k] = got = np.array(ids, "<u2").tobytes()
+                if size < 48:
+                    if len(self.known) >= MOST_CACHED:
+                        self.known.clear()
+                    self.known[key] = got
         flat = np.frombuffer(b"".join(pieces), "<u2")
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
         begin = (np.cumsum(size) - size)[inverse]

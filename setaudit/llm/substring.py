@@ -14,9 +14,9 @@ from setaudit.runtime import free
 
 LEAST_WORDS = 50  # length of the shortest passage reported
 GRAM = 12  # words of a fingerprint
-PER_SHARD = 12_000  # pieces of a shard on average
-MOST_PIECES = 10_000  # pieces around one gram that go to an index; what surrounds a more frequent gram is compared window by window
-BLOCK = 24_000  # pieces of one index; a shard with more is a chain of indexes, each of which sees every query
+PER_SHARD = 6_000  # pieces of a shard on average
+MOST_PIECES = 5_000  # pieces around one gram that go to an index; what surrounds a more frequent gram is compared window by window
+BLOCK = 12_000  # pieces of one index; a shard with more is a chain of indexes, each of which sees every query
 
 _FP = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("fp", pa.int64())])
 

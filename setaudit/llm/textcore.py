@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from setaudit import runtime
 
-SLICE_BYTES = 2 << 20  # bytes of text handled at once; a longer document is a slice of its own
+SLICE_BYTES = 1 << 19  # bytes of text handled at once; a longer document is a slice of its own
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)

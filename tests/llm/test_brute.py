@@ -337,3 +337,36 @@ def test_components(spark):
             root[q] = p
     got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {(i, top(i)) for i in range(500) if top(i) != i}
+
+
+def test_statistics_by_the_definition():
+    """The features of the classifier, worked out text by text with str methods."""
+    texts = ["One two, two THREE!\nfour 55 5", "", "a", "x" * 20 + " y " * 3, "aa bb cc dd aa bb cc dd"]
+    odds = np.zeros(quality.BUCKETS, np.float32)
+    h = tc.Words(np.frombuffer(b"two", np.uint8), np.array([0, 3]), "alnum").hashes()
+    odds[int(h[0]) >> 46] = 3.0
+    got, count = quality.statistics(pa.array(texts), odds)
+    for row, n, text in zip(got, count, texts):
+        f = dict(zip(quality.NAMES, row))
+        w = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        size, k = max(len(text), 1), max(len(w), 1)
+        share = lambda some: sum(map(some, text)) / size
+        assert n == len(w) and np.isclose(f["log_bytes"], np.log1p(len(text))) and np.isclose(f["log_words"], np.log1p(len(w)))
+        assert np.isclose(f["word_bytes"], sum(map(len, w)) / k) and np.isclose(f["upper"], share(str.isupper)) and np.isclose(f["digit"], share(str.isdigit))
+        assert np.isclose(f["space"], share(str.isspace)) and np.isclose(f["bang"], share(lambda c: c == "!")) and np.isclose(f["line"], share(lambda c: c == "\n"))
+        assert np.isclose(f["distinct"], len(set(w)) / k) and np.isclose(f["adjacent"], sum(a == b for a, b in zip(w, w[1:])) / k)
+        assert np.isclose(f["short"], sum(len(x) <= 2 for x in w) / k) and np.isclose(f["long"], sum(len(x) >= 12 for x in w) / k)
+        grams = list(zip(w, w[1:], w[2:], w[3:]))
+        if w:
+            assert np.isclose(f["distinct4"], (len(set(grams)) + 1) / (len(grams) + 1))
+            assert f["odds_max"] == (3 if "two" in w else 0) and np.isclose(f["odds_mean"], 3 * w.count("two") / k) and f["odds_high"] == w.count("two")
+
+
+def test_ties_and_equal_rows_are_judged_alike(spark):
+    docs = tc.read(spark, SF, "documents").select("doc_id", "text", "source")
+    labels = tc.read(spark, SF, "labels")
+    twice = docs.unionByName(docs)
+    got = quality.quality_scores(twice, labels).toPandas()
+    assert len(got) == 2 * docs.count() and (got.groupby("doc_id")["keep"].nunique() == 1).all()
+    rates = mixing.mixing_rates(twice, docs, labels).toPandas()
+    assert len(rates) == len(got) and (rates.groupby("doc_id")["rate"].agg(lambda r: r.max() - r.min()) < 1e-9).all()

@@ -136,3 +136,19 @@ def test_quality(docs, none, labels):
 def test_licenses(docs, none):
     assert [(r.doc_id, r.license) for r in licenses.license_scan(docs).collect()] == [(7, "Apache-2.0")]
     assert licenses.license_scan(none).count() == 0
+
+
+def test_edits_from_a_table(spark):
+    docs = spark.createDataFrame([(1, "hello world"), (1, "hello there"), (2, None), (None, "x")], "doc_id long, text string")
+    rows = [(1, 2, 0, 5, "bye"), (1, 1, 0, 0, "> "), (2, None, 3, 1, "new"), (9, 1, 0, 1, None), (None, 1, 0, 1, "y")]
+    table = spark.createDataFrame(rows, "doc_id long, seq int, start int, remove int, insert string")
+    got = sorted((r.doc_id or 0, r.chars_after) for r in edits.edited_counts(edits.with_edits(docs, table)).collect())
+    assert got == [(0, 1), (1, 11), (1, 11), (2, 3)]
+    assert edits.edited_counts(edits.with_edits(docs, table.limit(0))).count() == 4
+    assert edits.edited_counts(edits.with_edits(docs.limit(0), table)).count() == 0
+
+
+def test_a_long_text_full_of_licenses(spark):
+    text = "Licensed under the MIT License.\n" * 20_000
+    got = licenses.license_scan(spark.createDataFrame([(1, text, 2)], "doc_id long, text string, license int"))
+    assert got.count() == 20_000 and {r.license for r in got.limit(5).collect()} == {"MIT"}

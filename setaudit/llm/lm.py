@@ -330,7 +330,7 @@ def lm_scores(docs: DataFrame, tokenizers: str = TOKENIZERS, shares: tuple[float
     before it or all there are. nll is the mean per token, unigram_nll that of the counts alone.
 
     Since each partition trains on its own rows, the weights follow from how the table is partitioned: the mean nll of a
-    corpus differs between partitionings, most where they leave each partition little to train on (5.19 and 4.90 for a thousand documents
+    corpus differs between partitionings, most where they leave each partition little to train on (5.26 and 4.94 for a thousand documents
     in eight parts and in one; the tests hold it to 8 %), and equal partitions give equal scores.
 
     Null and empty texts have 0 tokens, log_prob 0 and null means. Every row is scored by itself: repeated rows and

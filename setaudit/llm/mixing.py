@@ -14,6 +14,9 @@ DOMAINS = ("q1t0", "q1t1", "q0t0", "q0t1")  # quality and toxicity, as the label
 TARGETS = {"q1t0": 0.85, "q1t1": 0.05, "q0t0": 0.08, "q0t1": 0.02}  # shares of all tokens
 ROUNDS = 25
 ENOUGH = 1e-7
+RIDGES = 10.0 ** np.arange(-9, 1)  # of the whitened steps that a round tries, as parts of the Gram matrix's trace
+PARTS = (1.0, 0.25)  # of each of them
+PLAIN = 4.0 ** np.arange(8)  # lengths of the gradient steps that a round tries; the shortest always lowers the loss
 
 _POST = ", ".join(f"p_{d} double" for d in DOMAINS)
 
@@ -41,15 +44,22 @@ def _posterior(batch) -> np.ndarray:
     return np.stack([batch.column(f"p_{d}").to_numpy(zero_copy_only=False) for d in DOMAINS], axis=1)
 
 
-def _totals(total: float, steps: list[np.ndarray]):
+def tried(gram: np.ndarray, residual: np.ndarray, steepest: float) -> np.ndarray:
+    """(steps, domains) that a round tries: none, whitened ones from nearly pure to heavily ridged, and plain gradient steps."""
+    n = len(residual)
+    white = [part * np.linalg.pinv(gram + ridge * np.trace(gram) * np.eye(n)) @ residual for ridge in RIDGES for part in PARTS]
+    return np.stack([np.zeros(n), *white, *(PLAIN[:, None] * residual / max(steepest, 1e-300))])
+
+
+def _totals(total: float, steps: list[np.ndarray], tries: np.ndarray):
     def run(batches):
-        out = np.zeros(len(DOMAINS) * (1 + len(DOMAINS)))
+        out = np.zeros((len(tries), len(DOMAINS) * (1 + len(DOMAINS))))
         for batch in batches:
             p = _posterior(batch)
             a = p * (batch.column("tokens").to_numpy(zero_copy_only=False) / total)[:, None]
-            r = rates_of(p, steps)
-            out += np.concatenate([r @ a, (a.T @ (p * (r > 0)[:, None])).ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["v"])
+            r = np.maximum(0.0, rates_of(p, steps)[:, None] - p @ tries.T)
+            out += np.concatenate([r.T @ a, (r > 0).T.astype(float) @ (a[:, :, None] * p[:, None, :]).reshape(len(p), -1)], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], names=["v"])
 
     return run
 
@@ -71,8 +81,10 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, labels: DataFrame, target
     repeated or thinned, solve a least-squares problem over all documents: the expected tokens of each domain,
     the sum of r * tokens * posterior, are to be the target's share of all tokens. Projected gradient starts at
     rate 1, scaled by 1/tokens (so a document's length doesn't set its rate) and whitened by the Gram matrix of
-    the documents whose rate isn't 0. Each round is one aggregation of twenty numbers over the table of
-    posteriors, and a document's rate follows from the rounds' residuals alone.
+    the documents whose rate isn't 0. A whitened step may overshoot where rates are cut at 0, so each round tries
+    steps of several lengths and ridges, plain gradient steps among them, and takes the one of the least loss, which
+    is never more than the round's before. Each round is one aggregation of twenty numbers a step tried over the table
+    of posteriors, and a document's rate follows from the steps taken alone.
 
     Tokens are words. A document without words has posteriors 0 and rate 1. Repeated rows count each for itself,
     null ids and sources stay, an empty table gives no rows, and other columns aren't read. Targets that the
@@ -87,11 +99,18 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, labels: DataFrame, target
     post = tc.table(post.mapInArrow(_posteriors(model), schema), "posteriors")
     total = float(post.agg(F.sum("tokens")).first()[0] or 0)
     steps: list[np.ndarray] = []
-    if total:
-        for _ in range(ROUNDS):
-            got = np.sum([r["v"] for r in post.mapInArrow(_totals(total, steps), "v array<double>").collect()], axis=0)
-            residual, gram = got[: len(s)] - s, got[len(s) :].reshape(len(s), len(s))
-            if np.abs(residual).max() < ENOUGH:
-                break
-            steps.append(np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(len(s))) @ residual)
+    tries, steepest = np.zeros((1, len(s))), None
+    for _ in range(ROUNDS if total else 0):
+        got = np.sum([r["v"] for r in post.mapInArrow(_totals(total, steps, tries), "v array<double>").collect()], axis=0).reshape(len(tries), -1)
+        residuals = got[:, : len(s)] - s
+        best = int((residuals**2).sum(axis=1).argmin())
+        if tries[best].any():
+            steps.append(tries[best])
+        elif steepest is not None:  # no step lowers the loss
+            break
+        residual, gram = residuals[best], got[best, len(s) :].reshape(len(s), len(s))
+        if np.abs(residual).max() < ENOUGH:
+            break
+        steepest = np.linalg.eigvalsh(gram)[-1] if steepest is None else steepest  # of all documents, since each starts at rate 1
+        tries = tried(gram, residual, steepest)
     return post.mapInArrow(_final(steps), f"{schema}, rate double")

@@ -158,6 +158,19 @@ def test_rates_solve_the_least_squares(spark):
         assert (got["rate"] >= 0).all() and loss(got["rate"].to_numpy()) <= loss(r) + 1e-8, (targets, loss(got["rate"].to_numpy()), loss(r))
 
 
+def test_rates_of_kept_documents_dont_diverge(spark):
+    """What the quality stage keeps hardly reaches the targets: the loss still falls, to that of many plain gradient steps or lower."""
+    docs, labels = tc.read(spark, "/root/testdata/sf0.1", "documents"), tc.read(spark, "/root/testdata/sf0.1", "labels")
+    got = mixing.mixing_rates(quality.quality_stage(docs, labels), docs, labels).toPandas()
+    p, n = got[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy(), got["tokens"].to_numpy(float)
+    a, goal = p * (n / n.sum())[:, None], np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    loss = lambda r: ((r @ a - goal) ** 2).sum()
+    r, steepest = np.ones(len(p)), np.linalg.eigvalsh(a.T @ p)[-1]
+    for _ in range(1000):
+        r = np.maximum(0, r - p @ (r @ a - goal) / steepest)
+    assert (got["rate"] >= 0).all() and loss(got["rate"].to_numpy()) <= loss(r) < loss(np.ones(len(p))), (loss(got["rate"].to_numpy()), loss(r))
+
+
 def test_names():
     assert len(corpus_pipeline.STAGES) == 5 and set(queries.ORACLES) <= set(queries.QUERIES)
     assert sum(n.startswith("op") for n in queries.QUERIES) == 10

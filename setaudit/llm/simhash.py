@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: every signature is compared with every other one, tile against tile."""
+"""SimHash near-duplicates: every pair within the radius is found, tile against tile, by blocks of bits where tables are large."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ from setaudit.runtime import free
 RADIUS = 24  # of 128 bits: unrelated documents differ in 60 bits or so, light edits in 20 at most
 LEAST_BYTES = 4  # shorter words without a digit are mostly function words, which unrelated documents share
 TILE = 16_384
+PLAIN = 1 << 17  # signatures that are all compared with each other; with more, only those alike in one of 8 blocks of bits
+WIDE = 1 << 20  # signatures of a tile that is gone through by blocks
 MOST_TILES = 512  # beyond this many, tiles grow instead, so the plan of tile pairs stays small
 
 _SPREAD = np.ascontiguousarray(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)).view(np.uint64).ravel()
@@ -94,8 +96,61 @@ def _close(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
             yield x, y
 
 
-def tile_edges(rep: np.ndarray, sig: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what the close pairs of one tile pair join: each node with its component's smallest one."""
+BLOCKS = 8  # of 16 bits each
+HELD = 1 << 17  # distances held at once
+
+
+def reaches(radius: int) -> list[int]:
+    """Bits that each block may differ in. Were each block of a pair apart by more than that, the pair would be apart by more than
+    the radius, so a pair within it is within reach in some block. A block of reach -1 needn't be looked at."""
+    each, more = divmod(radius + 1, BLOCKS)
+    return [each - (k >= more) for k in range(BLOCKS)]
+
+
+def candidates(a: np.ndarray, b: np.ndarray, reach: int, same: bool):
+    """Indices into a and into b, which hold 16 bits of each signature, whose every pair differs in at most reach bits: all such pairs, once each.
+    For same, a is b, and a pair comes in one of its orders; equal values come in both, and with themselves."""
+    masks = np.arange(1 << 16)
+    masks = masks[np.bitwise_count(masks) <= reach]
+    by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    begin = np.searchsorted(b[by_b], np.arange((1 << 16) + 1))
+    size = np.diff(begin)
+    value, first = np.unique(a[by_a], return_index=True)
+    last = np.append(first[1:], len(a))
+    for v, i, j in zip(value.astype(np.int64).tolist(), first.tolist(), last.tolist()):
+        other = masks ^ v
+        if same:
+            other = other[other >= v]
+        n = size[other]
+        end = np.cumsum(n)
+        if end.size and end[-1]:
+            yield by_a[i:j], by_b[np.repeat(begin[other] - (end - n), n) + np.arange(end[-1])]
+
+
+def _alike(a: np.ndarray, b: np.ndarray, radius: int, block: int, same: bool):
+    """The pairs of ``_close`` that are within reach in one block, a and b in any order."""
+    a0, a1, b0, b1 = (np.ascontiguousarray(x[:, k]) for x in (a, b) for k in (0, 1))
+    bits = lambda x: np.ascontiguousarray(x).view(np.uint16).reshape(-1, BLOCKS)[:, block]
+    for left, right in candidates(bits(a), bits(b), reaches(radius)[block], same):
+        for k in range(0, len(right), HELD):
+            some = right[k : k + HELD]
+            r0, r1 = b0[some], b1[some]
+            step = max(1, HELD // len(some))
+            for i in range(0, len(left), step):
+                own = left[i : i + step]
+                apart = np.bitwise_count(a0[own, None] ^ r0)
+                apart += np.bitwise_count(a1[own, None] ^ r1)
+                near = np.flatnonzero(apart <= radius)
+                if len(near):
+                    x, y = own[near // len(some)], some[near % len(some)]
+                    yield (x[x != y], y[x != y]) if same else (x, y)
+
+
+def tile_edges(rep: np.ndarray, sig: np.ndarray, side: np.ndarray, radius: int, block: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what the close pairs of one tile pair join: each node with its component's smallest one.
+
+    With a block, of the pairs within reach in that block alone; all blocks together have all pairs.
+    """
     order = np.lexsort((rep, np.bitwise_count(sig).sum(1)))
     rep, sig, side = rep[order], sig[order], side[order]
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -104,7 +159,7 @@ def tile_edges(rep: np.ndarray, sig: np.ndarray, side: np.ndarray, radius: int)
         right = left
     ea, eb, held = [], [], 0
     label = np.arange(len(rep))
-    for x, y in _close(sig[left], sig[right], radius, same):
+    for x, y in _close(sig[left], sig[right], radius, same) if block < 0 else _alike(sig[left], sig[right], radius, block, same):
         ea.append(left[x])
         eb.append(right[y])
         held += len(x)
@@ -122,7 +177,7 @@ _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def _tile_pair(radius: int):
     def run(t: pa.Table) -> pa.Table:
         sig = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("s0", "s1")], axis=1).view(np.uint64)
-        a, b = tile_edges(t.column("rep").to_numpy(), sig, t.column("side").to_numpy(), radius)
+        a, b = tile_edges(t.column("rep").to_numpy(), sig, t.column("side").to_numpy(), radius, t.column("block")[0].as_py())
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGE)
 
     return run
@@ -142,22 +197,27 @@ def tiles(counts: dict[int, int], most: int) -> list[tuple[int, int, int, int]]:
     return runs
 
 
-def _links(uniq: DataFrame, radius: int) -> DataFrame:
-    """(node, root) for the nodes of uniq(node, s0, s1, ...) that lie within the radius of another, roots left out."""
+def _links(uniq: DataFrame, radius: int, plain: int = PLAIN) -> DataFrame:
+    """(node, root) for the nodes of uniq(node, s0, s1, ...) that lie within the radius of another, roots left out.
+
+    Up to ``plain`` nodes all pairs are compared. With more, each tile pair is a task for each block, which compares what is alike in the block.
+    """
     spark = uniq.sparkSession
     counted = uniq.select("node", "s0", "s1", (F.bit_count("s0") + F.bit_count("s1")).alias("pop"))
     counts = {r["pop"]: r["n"] for r in counted.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 129 rows at most
-    runs = tiles(counts, max(TILE, -(-sum(counts.values()) // MOST_TILES)))
+    total = sum(counts.values())
+    blocks = [-1] if total <= plain else [k for k, reach in enumerate(reaches(radius)) if reach >= 0]
+    runs = tiles(counts, max(TILE if total <= plain else WIDE, -(-total // MOST_TILES)))
     of_tile = [(t, lo, hi) for at, k, lo, hi in runs for t in range(at, at + k)]
-    pairs = [(n, i, j) for n, (i, j) in enumerate((i, j) for i, lo, hi in of_tile for j, lo2, hi2 in of_tile if i <= j and lo2 - hi <= radius)]
+    pairs = [(n, i, j, k) for n, (i, j, k) in enumerate((i, j, k) for i, lo, hi in of_tile for j, lo2, hi2 in of_tile if i <= j and lo2 - hi <= radius for k in blocks)]
     if not pairs:
         return spark.createDataFrame([], "node long, root long")
     run_of = F.broadcast(spark.createDataFrame([(p, at, k) for at, k, lo, hi in runs for p in counts if lo <= p <= hi], "pop int, at int, k int"))
     placed = counted.join(run_of, "pop").select("s0", "s1", F.col("node").alias("rep"), (F.col("at") + F.pmod(F.xxhash64("s0", "s1"), F.col("k")).cast("int")).alias("tile"))
-    plan = F.broadcast(spark.createDataFrame(pairs, "pair int, i int, j int"))
-    left = placed.join(plan, F.col("tile") == F.col("i")).select("pair", "s0", "s1", "rep", F.lit(0).alias("side"))
-    right = placed.join(plan.where("i < j"), F.col("tile") == F.col("j")).select("pair", "s0", "s1", "rep", F.lit(1).alias("side"))
-    spread = left.unionByName(right).repartition(min(len(pairs), 4 * tc.partitions(spark)), "pair")
+    plan = F.broadcast(spark.createDataFrame(pairs, "pair int, i int, j int, block int"))
+    left = placed.join(plan, F.col("tile") == F.col("i")).select("pair", "block", "s0", "s1", "rep", F.lit(0).alias("side"))
+    right = placed.join(plan.where("i < j"), F.col("tile") == F.col("j")).select("pair", "block", "s0", "s1", "rep", F.lit(1).alias("side"))
+    spread = left.unionByName(right).repartition(min(len(pairs) * (4 if len(blocks) > 1 else 1), 4 * tc.partitions(spark)), "pair")
     return components(spread.groupBy("pair").applyInArrow(_tile_pair(radius), "a long, b long"), "a", "b")
 
 
@@ -177,9 +237,11 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Documents whose 128-bit SimHash differs in at most ``radius`` bits are near-duplicates, and groups are the
     connected components of that relation; group_id is the smallest doc_id, which is the one kept. Features are
     the distinct lower-cased words of at least four bytes or with a digit, or all words where there is no such word, so case,
-    punctuation, order and repetition don't matter. Every distinct signature meets every other one: tiles are
+    punctuation, order and repetition don't matter. No pair of distinct signatures within the radius is left out: tiles are
     runs of population counts, and a tile pair whose counts differ by more than the radius is skipped, which
-    loses nothing since population counts differ by no more than the distance.
+    loses nothing since population counts differ by no more than the distance. Up to ``PLAIN`` distinct signatures all
+    are compared; with more, those that differ in at most ``reaches`` bits in one of 8 blocks of 16 bits, as every pair
+    within the radius does. There is no bound on how many share a block: they are all compared, a part at a time.
 
     Rows without text, without a word or without doc_id have no group and aren't returned; an empty table gives
     no rows. A very long text counts in full. Repeated rows are one document; texts of one doc_id that differ in signature are judged

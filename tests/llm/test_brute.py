@@ -216,6 +216,39 @@ def test_numbers_tell_templates_apart():
     assert np.mean(np.array(apart) > simhash.RADIUS) > 0.95
 
 
+@pytest.mark.parametrize("radius", [0, 3, 4, 7, 12, 24])
+def test_simhash_blocks_leave_no_close_pair_out(radius):
+    rng = np.random.default_rng(radius)
+    sig = rng.integers(0, 2**63, (1500, 2)).astype(np.uint64)
+    for i in range(700, 1500):  # near copies, up to a few bits beyond the radius
+        bits = np.unpackbits(sig[i - 700].view(np.uint8))
+        bits[rng.choice(128, rng.integers(0, radius + 4), replace=False)] ^= 1
+        sig[i] = np.packbits(bits).view(np.uint64)
+    sig[600:700, 0] = sig[600, 0]  # a hundred that share four blocks
+    rep = rng.permutation(1500)
+    for side in (np.zeros(1500, int), rng.integers(0, 2, 1500)):
+        want = simhash.tile_edges(rep, sig, side, radius)
+        got = [simhash.tile_edges(rep, sig, side, radius, k) for k, reach in enumerate(simhash.reaches(radius)) if reach >= 0]
+        label = lambda a, b: simhash.forest(1500, np.asarray(a, int), np.asarray(b, int))
+        assert np.array_equal(label(*want), label(*(np.concatenate(x) for x in zip(*got))))
+
+
+def test_simhash_blocks_compare_a_small_part():
+    """Of 20,000 signatures and a radius of 24 bits, under a twentieth of the pairs."""
+    value = np.random.default_rng(5).integers(0, 1 << 16, (20_000, 8)).astype(np.uint16)
+    compared = sum(len(a) * len(b) for k, reach in enumerate(simhash.reaches(24)) for a, b in simhash.candidates(value[:, k], value[:, k], reach, True))
+    assert compared < 0.05 * 20_000 * 19_999 / 2
+
+
+def test_simhash_groups_by_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    docs = tc.read(spark, SF, "documents")
+    want = sorted(map(tuple, simhash.simhash_groups(docs).collect()))
+    links = simhash._links
+    monkeypatch.setattr(simhash, "_links", lambda uniq, radius: links(uniq, radius, plain=0))
+    monkeypatch.setattr(simhash, "WIDE", 300)
+    assert want and sorted(map(tuple, simhash.simhash_groups(docs).collect())) == want
+
+
 def test_simhash_tiles_leave_no_close_pair_out():
     rng = np.random.default_rng(4)
     sig = rng.integers(0, 2**63, (400, 2)).astype(np.uint64)

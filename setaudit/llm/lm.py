@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setaudit.llm import textcore as tc
-from setaudit.llm.tokens import TOKENIZERS, BatchEncoder, encoder
+from setaudit.llm.tokens import TOKENIZERS, batch_encoder, encoder
 
 WINDOW, STRIDE = 32, 24  # tokens of a context window, and between windows when scoring: all but the first share 8 tokens
 WIDTH, CLASSES, ROWS = 16, 64, 4096  # of vectors, output classes, embedding rows
@@ -61,38 +63,62 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return s
 
 
-def _exp_sums(s: np.ndarray) -> np.ndarray:
-    """Turns s into its exponentials, and returns their sums over the last axis. Capped at e**60, so no sum overflows."""
-    np.minimum(s, 60, out=s)
+def _exp_sums(s: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
+    """Turns s into its exponentials, and returns the sums over the last axis of those of s + bias, at most 20 each way. These are capped at e**60, so no sum overflows."""
+    cap = 60 if bias is None else 60 - bias
+    if s.max(initial=-np.inf) > np.min(cap):  # hardly ever, and the largest is found faster than the cap is applied
+        np.minimum(s, cap, out=s)
     np.exp(s, out=s)
-    return s @ np.ones((s.shape[-1], 1), s.dtype) + s.dtype.type(1e-30)
+    each = np.ones(s.shape[-1], s.dtype) if bias is None else np.exp(bias)
+    return (_flat(s) @ each + s.dtype.type(1e-30)).reshape(*s.shape[:-1], 1)
+
+
+def _left(bias: np.ndarray, logits: np.ndarray) -> np.ndarray:
+    """The bias, for the exponentials to be multiplied by; a large one is added to the logits instead, and none is left."""
+    if np.abs(bias).max() <= 20:
+        return bias
+    logits += bias
+    return np.zeros_like(bias)
+
+
+def _flat(m: np.ndarray) -> np.ndarray:
+    return m.reshape(-1, m.shape[-1])
+
+
+def _products(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Queries' matrix times keys', scaled, and values' times the output's: with one head as wide as the model neither keys nor values are needed."""
+    return w["q"] @ w["k"].T * w["q"].dtype.type(1 / np.sqrt(WIDTH)), w["v"] @ w["o"]
 
 
 def _forward(w: dict[str, np.ndarray], rows: np.ndarray, first: int):
-    """What the backward pass needs, the logits of the next token's class for positions from ``first`` on at the end."""
-    x = w["emb"][rows] + w["pos"]
-    scale = x.dtype.type(1 / np.sqrt(WIDTH))
-    k, v = np.split(x @ np.concatenate([w["k"], w["v"]], axis=1), 2, axis=2)
-    q = x[:, first:] @ (w["q"] * scale)
-    a = q @ k.transpose(0, 2, 1)
+    """What the backward pass needs, the logits of the next token's class but for their bias, for positions from ``first`` on, at the end."""
+    x = w["emb"].take(rows, axis=0)
+    x += w["pos"]
+    own = np.ascontiguousarray(x[:, first:])
+    qk, vo = _products(w)
+    q = (_flat(own) @ qk).reshape(own.shape)
+    a = q @ x.transpose(0, 2, 1)
     a += _MASK[first:]
     a /= _exp_sums(a)
-    c = a @ v
-    h = x[:, first:] + c @ w["o"]
-    return x, q, k, v, a, c, h, h.reshape(-1, WIDTH) @ w["out"] + w["bias"]
+    c = a @ x
+    h = _flat(c) @ vo
+    h += _flat(own)
+    return x, q, a, c, h, h @ w["out"]
 
 
 def class_log_probs(w: dict[str, np.ndarray], rows: np.ndarray, first: int = 0) -> np.ndarray:
     """(windows, WINDOW - first, classes) log-probabilities of the next token's class, for positions from ``first`` on."""
-    logits = _forward(w, rows, first)[-1]
+    logits = _forward(w, rows, first)[-1] + w["bias"]
     return (logits - np.log(_exp_sums(logits.copy()))).reshape(len(rows), -1, CLASSES)
 
 
 def target_log_probs(w: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray, first: int = 0) -> np.ndarray:
     """The log-probabilities of one class a position; those of negative targets mean nothing."""
     logits = _forward(w, rows, first)[-1]
-    at = logits[np.arange(len(logits)), np.maximum(target.ravel(), 0)]
-    return (np.minimum(at, 60) - np.log(_exp_sums(logits))[:, 0]).reshape(target.shape)
+    cls = np.maximum(target.ravel(), 0)
+    bias = _left(w["bias"], logits)
+    at = logits.ravel().take(np.arange(0, logits.size, CLASSES) + cls) + bias[cls]
+    return (np.minimum(at, 60) - np.log(_exp_sums(logits, bias)[:, 0])).reshape(target.shape)
 
 
 def gradients(w: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -104,57 +130,74 @@ def gradients(w: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray) ->
 
 
 def _backward(w: dict[str, np.ndarray], rows: np.ndarray, target: np.ndarray):
-    """(mean loss, gradients but for the embedding's, embedding rows met, their gradients)."""
-    x, q, k, v, a, c, h, p = _forward(w, rows, 0)
-    flat = lambda m: m.reshape(-1, m.shape[-1])
+    """(mean loss, gradients but for the embedding's, embedding rows met, their gradients).
+
+    Factors of a position or of a class are applied to the narrow arrays and to the weights, not to all classes of all positions.
+    """
+    x, q, a, c, h, p = _forward(w, rows, 0)
+    qk, vo = _products(w)
     target = target.ravel()
-    some = target >= 0
-    n = max(1, int(some.sum()))
-    scale = x.dtype.type(1 / np.sqrt(WIDTH))
-    total = _exp_sums(p)
-    at = np.flatnonzero(some), target[some]
-    loss = float(-np.log(p[at] / total[at[0], 0]).sum()) / n
-    p *= some[:, None] / (total * x.dtype.type(n))
-    p[at] -= x.dtype.type(1 / n)
-    g = {"out": (p.T @ flat(h)).T, "bias": np.ones(len(p), p.dtype) @ p}
-    dh = (p @ w["out"].T).reshape(h.shape)
-    g["o"] = flat(c).T @ flat(dh)
-    dc = dh @ w["o"].T
-    dv = a.transpose(0, 2, 1) @ dc
-    ds = dc @ v.transpose(0, 2, 1)
-    ds -= (dc * c).sum(axis=-1, keepdims=True)  # the sum of a * ds over what is attended to
+    some = np.flatnonzero(target >= 0)
+    cls = target[some]
+    n = max(1, len(some))
+    bias = _left(w["bias"], p)
+    total, of_bias = _exp_sums(p, bias), np.exp(bias)
+    flat, at, own = p.reshape(-1), some * CLASSES + cls, total[some, 0]
+    right = flat.take(at)
+    loss = float(-np.log(right * of_bias[cls] / own).sum()) / n
+    flat[at] = right - own / of_bias[cls]
+    share = np.zeros_like(total)
+    share[some, 0] = 1 / (own * own.dtype.type(n))
+    g = {"out": (p.T @ (h * share)).T * of_bias, "bias": (share.T @ p)[0] * of_bias}
+    dh = p @ (w["out"] * of_bias).T
+    dh *= share
+    of_vo = _flat(c).T @ dh
+    g["v"], g["o"] = of_vo @ w["o"].T, w["v"].T @ of_vo
+    dc = (dh @ vo.T).reshape(c.shape)
+    ds = dc @ x.transpose(0, 2, 1)
+    ds -= np.einsum("bij,bij->bi", dc, c)[:, :, None]  # the sum of a * ds over what is attended to
     ds *= a
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dqkv = np.concatenate([dq * scale, dk, dv], axis=2)
-    g["q"], g["k"], g["v"] = (np.ascontiguousarray(m) for m in np.split(flat(x).T @ flat(dqkv), 3, axis=1))
-    dx = dh + dqkv @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
-    g["pos"] = dx.sum(axis=0)
+    dq = _flat(ds @ x)
+    of_qk = _flat(x).T @ dq * x.dtype.type(1 / np.sqrt(WIDTH))
+    g["q"], g["k"] = of_qk @ w["k"], of_qk.T @ w["q"]
+    dx = dq @ qk.T
+    dx += dh
+    dx += _flat(a.transpose(0, 2, 1) @ dc)
+    dx += _flat(ds.transpose(0, 2, 1) @ q)
+    g["pos"] = dx.reshape(x.shape).sum(axis=0)
     own = rows.ravel().astype(np.uint16)
     order = np.argsort(own, kind="stable")
     row = own[order]
     first = np.flatnonzero(np.diff(row.astype(np.int32), prepend=-1))
-    return loss, g, row[first], np.add.reduceat(flat(dx)[order], first, axis=0)
+    return loss, g, row[first], np.add.reduceat(dx.take(order, axis=0), first, axis=0)
 
 
 class Adam:
-    """Adam whose embedding rows move only in the steps that meet them."""
+    """Adam whose embedding rows move only in the steps that meet them; the other weights become parts of one array."""
 
     def __init__(self, w: dict[str, np.ndarray], rate: float = RATE):
         self.w, self.rate, self.t = w, rate, 0
-        self.m, self.s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        self.small = [k for k in w if k != "emb"]
+        self.flat = np.concatenate([w[k].ravel() for k in self.small])
+        cuts = np.cumsum([w[k].size for k in self.small])[:-1]
+        w.update((k, part.reshape(w[k].shape)) for k, part in zip(self.small, np.split(self.flat, cuts)))
+        (self.flat_m, self.m), (self.flat_s, self.s) = ((np.zeros_like(self.flat), np.zeros_like(w["emb"])) for _ in range(2))
 
     def step(self, g: dict[str, np.ndarray], row: np.ndarray, d: np.ndarray) -> None:
         self.t += 1
         rate = float(self.rate * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t))
-        for k, v in g.items():
-            self.m[k] += 0.1 * (v - self.m[k])
-            self.s[k] += 0.01 * (v * v - self.s[k])
-            self.w[k] -= rate * self.m[k] / (np.sqrt(self.s[k]) + 1e-8)
-        m, s = self.m["emb"][row], self.s["emb"][row]
-        m += 0.1 * (d - m)
-        s += 0.01 * (d * d - s)
-        self.m["emb"][row], self.s["emb"][row] = m, s
-        self.w["emb"][row] -= rate * m / (np.sqrt(s) + 1e-8)
+        own = np.concatenate([g[k].ravel() for k in self.small])
+        self.flat -= self._moved(self.flat_m, self.flat_s, own, rate)
+        m, s = self.m.take(row, axis=0), self.s.take(row, axis=0)
+        self.w["emb"][row] -= self._moved(m, s, d, rate)
+        self.m[row], self.s[row] = m, s
+
+    @staticmethod
+    def _moved(m: np.ndarray, s: np.ndarray, g: np.ndarray, rate: float) -> np.ndarray:
+        """By how much the weights go down; m and s are brought up to date."""
+        m += 0.1 * (g - m)
+        s += 0.01 * (g * g - s)
+        return rate * m / (np.sqrt(s) + 1e-8)
 
 
 def windows(n: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -167,33 +210,46 @@ def windows(n: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray
 def laid_out(ids: np.ndarray, n: np.ndarray, doc: np.ndarray, start: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(input rows, index of the token each position predicts or -1) of some windows over concatenated documents."""
     begin = np.cumsum(n) - n
-    at = start[:, None] + np.arange(WINDOW)
-    inside = at < n[doc][:, None]
-    index = np.where(inside, begin[doc][:, None] + at, -1)
-    rows = np.where(inside, voc.row[ids[np.maximum(index - 1, 0)]], PAD)
-    rows[(at == 0) & inside] = BOS
+    index = (begin[doc] + start)[:, None] + np.arange(WINDOW)
+    rows = voc.row.take(ids.take(index - 1, mode="clip"))
+    rows[start == 0, 0] = BOS
+    beyond = index >= (begin + n)[doc][:, None]
+    if beyond.any():
+        rows[beyond], index[beyond] = PAD, -1
     return rows, index
 
 
 def score(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Log-probability of each token of concatenated documents of n tokens."""
     out = np.zeros(len(ids), np.float32)
+    cls = voc.cls[ids]
     doc, start = windows(n)
     for first, which in ((0, np.flatnonzero(start == 0)), (WINDOW - STRIDE, np.flatnonzero(start > 0))):
         for i in range(0, len(which), BATCH):
             part = which[i : i + BATCH]
             rows, index = laid_out(ids, n, doc[part], start[part], voc)
             index = index[:, first:]
+            lp = target_log_probs(w, rows, cls.take(index, mode="clip"), first)
             some = index >= 0
-            token = ids[np.maximum(index, 0)]
-            lp = target_log_probs(w, rows, voc.cls[token], first) + voc.log_in[token]
             out[index[some]] = lp[some]
+    out += voc.log_in[ids]
     return out
 
 
+def _keep_freed() -> None:
+    """Has the C library keep up to 128 MB of what arrays leave, where it would give the pages back and get them anew step by step; only with glibc."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError, TypeError):
+        return
+    mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
+    mallopt(-1, 1 << 27)  # M_TRIM_THRESHOLD
+
+
 def _encode(folder: str):
     def run(batches):
-        enc = BatchEncoder(encoder(folder))
+        _keep_freed()
+        enc = batch_encoder(folder)
         for batch in batches:
             raw, off, valid = tc.text_buffers(batch.column("text"))
             ids, n = enc.encode(raw, off)
@@ -240,6 +296,7 @@ def rounds_of(ids: np.ndarray, n: np.ndarray, doc: np.ndarray, start: np.ndarray
 
 def _train(shared, turn: int, shares: tuple[float, ...]):
     def run(batches):
+        _keep_freed()
         w0, voc = shared.value
         w = {k: v.copy() for k, v in w0.items()}
         adam, held_r, held_t, held, seen = Adam(w), [], [], 0, 0
@@ -262,7 +319,7 @@ def _train(shared, turn: int, shares: tuple[float, ...]):
                 part = own[i : i + 16 * BATCH]
                 rows, index = laid_out(ids, n, doc[part], start[part], voc)
                 held_r.append(rows)
-                held_t.append(np.where(index >= 0, voc.cls[ids[np.maximum(index, 0)]], -1))
+                held_t.append(np.where(index >= 0, voc.cls.take(ids.take(index, mode="clip")), -1))
                 held += len(part)
                 if held >= 16 * BATCH:
                     steps()
@@ -302,6 +359,7 @@ def train(tokens: DataFrame, size: int, shares: tuple[float, ...] = SHARES) -> t
 
 def _score(shared):
     def run(batches):
+        _keep_freed()
         w, voc = shared.value
         for batch in batches:
             ids, n = _ids(batch)

@@ -35,6 +35,8 @@ class Encoder:
         with open(os.path.join(folder, VOCABULARY), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.size = max(ranks.values()) + 1
+        self.bytes_of = np.zeros(self.size, np.int64)
+        self.bytes_of[list(ranks.values())] = list(map(len, ranks))
         self.encoding = tiktoken.Encoding("subwords", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[str, bytes] = {}
 
@@ -69,15 +71,24 @@ _JOINS = np.zeros(256, bool)  # bytes that white space can begin with: a space b
 _JOINS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+_GRAPHIC = np.zeros(256, bool)
+_GRAPHIC[33:127] = True
+
+
 class BatchEncoder:
     """Ids of all texts of a batch at once: spans of bytes are hashed together, and each distinct one is encoded once.
 
     Texts are cut before spaces that a byte follows which can't begin white space, where the pattern always cuts.
-    Spans are told apart by 64 bits of hash next to their length.
+    Spans are told apart by 64 bits of hash next to their length. When as many as MOST_CACHED are held, those not met since the last such time go.
     """
 
     def __init__(self, enc: Encoder):
-        self.enc, self.known = enc, {}
+        self.enc, self.known, self.older = enc, {}, {}
+
+    def _keep(self, key: int, ids: bytes) -> None:
+        if len(self.known) >= MOST_CACHED:
+            self.known, self.older = {}, self.known
+        self.known[key] = ids
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(uint16 ids of the documents one after the other, ids of each) of UTF-8 documents within raw."""
@@ -101,17 +112,21 @@ class BatchEncoder:
         inverse, distinct = pd.factorize(keys)
         pieces = list(map(self.known.get, distinct.tolist()))
         new = [k for k, got in enumerate(pieces) if got is None]
+        if new and self.older:
+            older = list(map(self.older.get, distinct[new].tolist()))
+            for k, key, got in zip(new, distinct[new].tolist(), older):
+                if got is not None:
+                    pieces[k] = got
+                    self._keep(key, got)
+            new = [k for k, got in zip(new, older) if got is None]
         if new:
             first = np.empty(len(distinct), np.int64)
             first[inverse[::-1]] = np.arange(len(keys) - 1, -1, -1)
             a, b = starts[first[new]], ends[first[new]]
-            texts = [buf[x:y].tobytes().decode() for x, y in zip(a.tolist(), b.tolist())]
-            for k, key, size, ids in zip(new, distinct[new].tolist(), (b - a).tolist(), map(self.enc.encoding.encode_ordinary, texts)):
-                pieces[k] = got = np.array(ids, "<u2").tobytes()
+            for k, key, size, got in zip(new, distinct[new].tolist(), (b - a).tolist(), self._encoded(buf, a, b)):
+                pieces[k] = got
                 if size < 48:
-                    if len(self.known) >= MOST_CACHED:
-                        self.known.clear()
-                    self.known[key] = got
+                    self._keep(key, got)
         flat = np.frombuffer(b"".join(pieces), "<u2")
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
         begin = (np.cumsum(size) - size)[inverse]
@@ -123,6 +138,24 @@ class BatchEncoder:
         return out, np.diff(cum[np.searchsorted(starts, off, "left")])
 
 
+    def _encoded(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The ids of spans. Those that begin and end with ASCII text are encoded as lines of one text: the pattern cuts on both sides of such a line feed."""
+        raw, encode = buf.tobytes(), self.enc.encoding.encode_ordinary
+        texts = [raw[x:y] for x, y in zip(starts.tolist(), ends.tolist())]
+        begin = np.where(buf[starts] == 32, buf[np.minimum(starts + 1, ends - 1)], buf[starts])
+        lines = _GRAPHIC[begin] & _GRAPHIC[buf[ends - 1]]
+        out = [b"" if line else np.array(encode(t.decode()), "<u2").tobytes() for line, t in zip(lines.tolist(), texts)]
+        whole = np.flatnonzero(lines)
+        if len(whole):
+            ids = np.array(encode(b"\n".join([texts[k] for k in whole]).decode()), "<u2")
+            size = (ends - starts)[whole]
+            last = np.searchsorted(np.cumsum(self.enc.bytes_of[ids]), np.cumsum(size + 1) - 1)  # each line's last id; its line feed is the next
+            flat, at = ids.tobytes(), (2 * last + 2).tolist()
+            for k, x, y in zip(whole.tolist(), [0, *(z + 2 for z in at)], at):
+                out[k] = flat[x:y]
+        return out
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -131,3 +164,13 @@ def encoder(folder: str = TOKENIZERS) -> Encoder:
     if folder not in _ENCODERS:
         _ENCODERS[folder] = Encoder(folder)
     return _ENCODERS[folder]
+
+
+_BATCH_ENCODERS: dict[str, BatchEncoder] = {}
+
+
+def batch_encoder(folder: str = TOKENIZERS) -> BatchEncoder:
+    """The process's batch encoder of this folder, so that one task's words are known to the next."""
+    if folder not in _BATCH_ENCODERS:
+        _BATCH_ENCODERS[folder] = BatchEncoder(encoder(folder))
+    return _BATCH_ENCODERS[folder]

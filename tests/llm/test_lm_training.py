@@ -74,6 +74,55 @@ def test_batches_are_encoded_like_texts():
         assert n.tolist() == list(map(len, want)) and (ids == np.concatenate(want)).all()
 
 
+def test_words_are_encoded_once_in_a_process(monkeypatch):
+    """In one call for each slice of text, and not again by the next task."""
+    enc, calls = encoder(), []
+    whole = enc.encoding.encode_ordinary
+    counted = SimpleNamespace(encode_ordinary=lambda text: calls.append(text) or whole(text))
+    monkeypatch.setattr(enc, "encoding", counted)
+    texts = [f"zq{k} of zq{k + 1}, it's\n zq{k}x" for k in range(300)] + ["", None, " ", "'s", "\n", "漢字 x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    for most in (20, 0):
+        (got,) = lm._encode("/opt/tokenizers")([batch])
+        assert len(calls) <= most, calls
+        assert got.column("ids").to_pylist() == [None if t is None else np.array(whole(t), "<u2").tobytes() for t in texts]
+        calls.clear()
+
+
+def test_words_come_back_when_few_are_held(monkeypatch):
+    monkeypatch.setattr("setaudit.llm.tokens.MOST_CACHED", 7)
+    enc, rng = encoder(), np.random.default_rng(6)
+    batch = BatchEncoder(enc)
+    for _ in range(20):
+        texts = [" ".join(f"w{k}" for k in rng.integers(0, 30, 12)) for _ in range(3)]
+        raw, off, _ = tc.text_buffers(pa.array(texts))
+        ids, n = batch.encode(raw, off)
+        want = [np.array(enc.encoding.encode_ordinary(t), "<u2") for t in texts]
+        assert n.tolist() == list(map(len, want)) and (ids == np.concatenate(want)).all()
+        assert len(batch.known) <= 7 and len(batch.older) <= 7
+
+
+@pytest.mark.parametrize("bias", [0, 5, 35])
+def test_gradients_and_scores_with_biases(bias):
+    """A bias is applied to the exponentials, a large one to the logits: both as in the plain form, by differences."""
+    rng = np.random.default_rng(8)
+    w = {name: v.astype(np.float64) * 3 for name, v in lm.initial().items()}
+    w["bias"] = rng.uniform(-1, 1, lm.CLASSES) * bias
+    rows, target = rng.integers(2, 60, (3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (3, lm.WINDOW))
+    plain = lambda: np.take_along_axis(lm.class_log_probs(w, rows), target[:, :, None], 2)[:, :, 0]
+    loss, g = lm.gradients(w, rows, target)
+    assert np.allclose(lm.target_log_probs(w, rows, target), plain()) and np.isclose(loss, -plain().mean())
+    for name in w:
+        for i in [(int(rows[0, 3]), 2)] if name == "emb" else [(5,), (60,)] if name == "bias" else [(1, 2), (7, 11)]:
+            old, h = w[name][i], 1e-5
+            w[name][i] = old + h
+            up = -plain().mean()
+            w[name][i] = old - h
+            down = -plain().mean()
+            w[name][i] = old
+            assert abs((up - down) / (2 * h) - g[name][i]) < 1e-6, name
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     docs = tc.read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")

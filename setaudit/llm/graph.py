@@ -2,30 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from setaudit.llm.textcore import cut
-
-
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest node of each node's component, for the edges a-b over nodes 0..n-1."""
-    label = np.arange(n)
-    while len(a):
-        la, lb = label[a], label[b]
-        lo, hi = np.minimum(la, lb), np.maximum(la, lb)
-        differ = lo != hi
-        if not differ.any():
-            break
-        a, b = a[differ], b[differ]
-        np.minimum.at(label, hi[differ], lo[differ])
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label = up
-    return label
+from setaudit.operators.duplicates import forest  # noqa: F401
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

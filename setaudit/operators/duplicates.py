@@ -18,6 +18,7 @@ from setaudit.model import Check, CheckResult, EvalSet, Finding, MissingEmbeddin
 Embedder = Callable[[Sequence[str]], np.ndarray]
 THRESHOLD, TILE = 0.85, 16_384  # vectors of a tile at most; two tiles of 1,000 floats are 130 MB
 BAND = 4_096  # vectors of the other tile that one block of cosines covers
+MOST_PARTITIONS = 50_000  # of a shuffle; more pairs of tiles share them
 LIMITATIONS = (
     "Likeness is the embedder's: texts it places apart are not found, whatever they mean.",
     "Clusters are transitive, so two members may be less alike than the threshold; the range is reported.",
@@ -35,28 +36,70 @@ def exact_groups(cases: DataFrame) -> DataFrame:
 
 
 def _unit(column: pd.Series) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, 0))
     x = np.stack([np.asarray(v, np.float64) for v in column])
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x / np.where(norm == 0, 1, norm)
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node of each node's component, for the edges a-b over nodes 0..n-1."""
+    label = np.arange(n)
+    while len(a):
+        la, lb = label[a], label[b]
+        lo, hi = np.minimum(la, lb), np.maximum(la, lb)
+        differ = lo != hi
+        if not differ.any():
+            break
+        a, b = a[differ], b[differ]
+        np.minimum.at(label, hi[differ], lo[differ])
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
+    return label
+
+
+def _sides(t: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    """The rows of a tile pair's two tiles, and whether they are one tile with itself. With one of two tiles empty, that side is."""
+    if t["self"].iloc[0]:
+        return t, t, True
+    first = t["tile"] == t["i"]
+    return t[first], t[~first], False
+
+
+def _blocks(x: np.ndarray, y: np.ndarray, only: bool):
+    """(first row, first column, cosines) of blocks of 1024 x 4096; only: x is y, and what isn't above the diagonal is NaN."""
+    for at in range(0, len(x), 1024):
+        for to in range(at if only else 0, len(y), BAND):
+            s = x[at : at + 1024] @ y[to : to + BAND].T
+            if only and to < at + len(s):  # each pair once, and no row with itself
+                s[np.arange(to, to + s.shape[1])[None, :] <= np.arange(at, at + len(s))[:, None]] = np.nan
+            yield at, to, s
+
+
+def _reached(s: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    return np.divmod(np.flatnonzero(s >= threshold), s.shape[1])  # np.nonzero of a matrix takes five times as long
+
+
+def _most(s: np.ndarray, most: float) -> float:
+    return max(most, min(1.0, float(np.fmax.reduce(s, axis=None, initial=-1.0))))
+
+
 def _tile_pair(threshold: float):
     def run(t: pd.DataFrame) -> pd.DataFrame:
         """The pairs of one tile pair, and a row without ids that holds the largest cosine met."""
-        first = t["tile"].min()
-        rows, cols = t[t["tile"] == first], t[t["tile"] == t["tile"].max()]
+        rows, cols, only = _sides(t)
         x, y = _unit(rows["vec"]), _unit(cols["vec"])
         i, j = rows["pos"].to_numpy(), cols["pos"].to_numpy()
-        only, most, out = t["tile"].max() == first and t["self"].iloc[0], 0.0, []
-        for at in range(0, len(x), 1024):
-            for to in range(at if only else 0, len(y), BAND):
-                s = np.clip(x[at : at + 1024] @ y[to : to + BAND].T, -1, 1)
-                if only:  # each pair once, and no row with itself
-                    s[np.arange(to, to + s.shape[1])[None, :] <= np.arange(at, at + len(s))[:, None]] = -2
-                p, q = np.nonzero(s >= threshold)
-                most = max(most, float(s.max(initial=0.0)))
-                a, b = i[p + at], j[q + to]
-                out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": s[p, q]}))
+        most, out = 0.0, []
+        for at, to, s in _blocks(x, y, only):
+            p, q = _reached(s, threshold)
+            most = _most(s, most)
+            a, b = i[p + at], j[q + to]
+            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": np.clip(s[p, q], -1, 1)}))
         out.append(pd.DataFrame({"a": [None], "b": [None], "sim": [most]}))
         got = pd.concat(out, ignore_index=True)
         return got.astype({"a": "Int64", "b": "Int64"})
@@ -64,40 +107,82 @@ def _tile_pair(threshold: float):
     return run
 
 
+def _tile_forest(threshold: float):
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        """As _tile_pair, but instead of the pairs at most one for each row, which join what all of them join."""
+        rows, cols, only = _sides(t)
+        x, y = _unit(rows["vec"]), _unit(cols["vec"])
+        pos = rows["pos"].to_numpy() if only else np.concatenate([rows["pos"].to_numpy(), cols["pos"].to_numpy()])
+        most, label, ea, eb, held = 0.0, np.arange(len(pos)), [], [], 0
+        shift = 0 if only else len(x)
+        for at, to, s in _blocks(x, y, only):
+            most = _most(s, most)
+            p, q = _reached(s, threshold)
+            p, q = label[p + at], label[q + to + shift]
+            new = p != q
+            ea.append(p[new])
+            eb.append(q[new])
+            held += len(ea[-1])
+            if held > 1 << 18:
+                label = forest(len(pos), np.concatenate([*ea, np.arange(len(pos))]), np.concatenate([*eb, label]))
+                ea, eb, held = [], [], 0
+        label = forest(len(pos), np.concatenate([*ea, np.arange(len(pos))]), np.concatenate([*eb, label]))
+        moved = np.flatnonzero(label != np.arange(len(pos)))
+        a, b = pos[label[moved]], pos[moved]
+        got = pd.DataFrame({"a": [*np.minimum(a, b), None], "b": [*np.maximum(a, b), None], "sim": [*np.full(len(a), np.nan), most]})
+        return got.astype({"a": "Int64", "b": "Int64"})
+
+    return run
+
+
 def tiles_for(n: int, slots: int, tile: int = TILE) -> int:
     """So many tiles that their pairs keep every slot busy, and none is larger than ``tile`` rows; each row is sent to as many groups."""
     return max(1, -(-n // tile), min(math.isqrt(2 * slots) + 1, n // 256))
 
 
-def compare(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> tuple[DataFrame, float]:
-    """((a, b, sim) of the pairs of vectors(pos, vec) at or above the threshold, largest cosine of any pair or 0).
+def _partitions(pairs: int) -> int:
+    return min(max(1, pairs), MOST_PARTITIONS)
 
-    Rows are hashed into tiles and every pair of tiles is one task's group, so no side is broadcast and no matrix is
-    larger than 1024 x 4096. A row travels once for each tile, n / 16,384 times. A zero vector is like nothing.
+
+def _spread(placed: DataFrame, tiles, *by: str) -> DataFrame:
+    """placed(pos, vec, tile) with each row once for every pair (i, j) of tiles that its own is one of, the pairs of tiles spread over as many partitions.
+
+    tiles: how many there are, a number, or a column for each group of ``by``. A task has a pair or a few, however many rows there are.
     """
+    n = F.lit(tiles) if isinstance(tiles, int) else F.col("tiles")
+    other = F.explode(F.sequence(F.lit(0), n - 1)).alias("k")
+    spread = placed.select("*", other).select(*by, "pos", "vec", "tile", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"))
+    return spread.withColumn("self", F.col("i") == F.col("j"))
+
+
+def _met(vectors: DataFrame, kernel, tile: int) -> tuple[DataFrame, float]:
     spark = vectors.sparkSession
     runtime.send(spark)
     tiles = tiles_for(vectors.count(), spark.sparkContext.defaultParallelism, tile)
     placed = vectors.select("pos", "vec", F.pmod(F.xxhash64("pos"), F.lit(tiles)).cast("int").alias("tile"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("k")
-    spread = placed.select("*", other).select("pos", "vec", "tile", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"))
-    spread = spread.withColumn("self", F.col("i") == F.col("j"))
-    met = spread.groupBy("i", "j").applyInPandas(_tile_pair_guard(threshold), _PAIRS)
-    met = runtime.checkpoint(met)
+    spread = _spread(placed, tiles).repartition(_partitions(tiles * (tiles + 1) // 2), "i", "j")
+    met = runtime.checkpoint(spread.groupBy("i", "j").applyInPandas(kernel, _PAIRS))
     most = met.where("a is null").agg(F.max("sim")).first()[0] or 0.0
     return met.where("a is not null"), most
 
 
-def _tile_pair_guard(threshold: float):
-    kernel = _tile_pair(threshold)
+def compare(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> tuple[DataFrame, float]:
+    """((a, b, sim) of the pairs of vectors(pos, vec) at or above the threshold, largest cosine of any pair or 0).
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        # a pair of two tiles of which one is empty has nothing to compare
-        if not t["self"].iloc[0] and t["tile"].nunique() < 2:
-            return pd.DataFrame({"a": pd.Series([], dtype="Int64"), "b": pd.Series([], dtype="Int64"), "sim": pd.Series([], dtype=float)})
-        return kernel(t)
+    Rows are hashed into tiles and every pair of tiles is one task's group, so no side is broadcast and no matrix is
+    larger than 1024 x 4096. A row travels once for each tile, n / 16,384 times. A zero vector is like nothing.
+    """
+    return _met(vectors, _tile_pair(threshold), tile)
 
-    return run
+
+def links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> tuple[DataFrame, float]:
+    """((a, b) of pairs at or above the threshold that join all that such pairs join, largest cosine of any pair or 0).
+
+    The same comparisons as compare(); of the pairs each two tiles give a spanning forest, at most a row a vector, so
+    clusters of many like vectors don't become all their pairs.
+    """
+    edges, most = _met(vectors, _tile_forest(threshold), tile)
+    return edges.select("a", "b"), most
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -122,20 +207,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _span(t: pd.DataFrame) -> pd.DataFrame:
-    x = _unit(t["vec"])
+    """Least and largest cosine of a cluster's tile pair, and the rows of its own tile."""
+    rows, cols, only = _sides(t)
+    x, y = _unit(rows["vec"]), _unit(cols["vec"])
     low, high = np.inf, -np.inf
-    for at in range(0, len(x), 1024):
-        s = np.clip(x[at : at + 1024] @ x.T, -1, 1)
-        later = np.arange(len(x))[None, :] > np.arange(at, at + len(s))[:, None]
-        if later.any():
-            low, high = min(low, s[later].min()), max(high, s[later].max())
-    return pd.DataFrame({"cluster": [t["cluster"].iloc[0]], "n_cases": [len(t)], "min_sim": [low], "max_sim": [high]})
-
-
-def cluster_stats(members: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(cluster, n_cases, min_sim, max_sim) over all pairs of members, edges or not."""
+    for _, _, s in _blocks(x, y, only):
+        low, high = min(low, np.fmin.reduce(s, axis=None, initial=np.inf)), max(high, np.fmax.reduce(s, axis=None, initial=-np.inf))
+    low, high = (float(np.clip(v, -1, 1)) if np.isfinite(v) else v for v in (low, high))  # infinite where there is no pair
+    return pd.DataFrame({"cluster": [t["cluster"].iloc[0]], "n": [len(x) if only else 0], "low": [low], "high": [high]})
+
+
+def spread_members(members: DataFrame, vectors: DataFrame, tile: int = TILE) -> DataFrame:
+    """(cluster, pos, vec, tile, i, j, self) of members: the pairs (i, j) of tiles that a cluster of more than ``tile`` members is hashed into; others are one tile."""
+    spark = members.sparkSession
+    rows = members.join(vectors, "pos").select("cluster", "pos", "vec")
+    sizes = runtime.checkpoint(rows.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")))
+    work = sizes.agg(F.sum(F.when(F.col("tiles") > 1, F.expr("tiles * (tiles + 1L) / 2")).otherwise(F.pow(F.col("n") / tile, 2)))).first()[0] or 0
+    large = sizes.where("tiles > 1").select("cluster", "tiles")  # one for each ``tile`` rows at most
+    placed = rows.join(F.broadcast(large), "cluster", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("pos"), F.col("tiles")).cast("int"))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _spread(placed, None, "cluster").repartition(_partitions(usual + int(work)), "cluster", "i", "j")
+
+
+def cluster_stats(members: DataFrame, vectors: DataFrame, tile: int = TILE) -> DataFrame:
+    """(cluster, n_cases, min_sim, max_sim) over all pairs of members, edges or not.
+
+    A cluster of more than ``tile`` members is compared as in compare(), each pair of its tiles by itself, so neither a task
+    nor its memory grows with the cluster.
+    """
     runtime.send(members.sparkSession)
-    return members.join(vectors, "pos").groupBy("cluster").applyInPandas(_span, "cluster long, n_cases long, min_sim double, max_sim double")
+    met = spread_members(members, vectors, tile).groupBy("cluster", "i", "j").applyInPandas(_span, "cluster long, n long, low double, high double")
+    return met.groupBy("cluster").agg(F.sum("n").alias("n_cases"), F.min("low").alias("min_sim"), F.max("high").alias("max_sim"))
 
 
 class DefaultEmbedder:
@@ -203,9 +306,9 @@ class DuplicateCheck(Check):
         keyed = cases.withColumn("__k", F.sha2("input", 256))
         firsts = keyed.groupBy("__k").agg(F.min_by(F.struct("pos", "id", "input"), "pos").alias("c")).select("__k", "c.*")
         vec = self.embedded(firsts.drop("__k"))
-        pairs, most = compare(vec, self.threshold)
+        pairs, most = links(vec, self.threshold)
         copies = keyed.select(F.col("pos").alias("b"), "__k").join(firsts.select(F.col("pos").alias("a"), "__k"), "__k").where("a < b").select("a", "b")
-        members = components(pairs.select("a", "b").union(copies))
+        members = components(pairs.union(copies))
         all_vec = keyed.select("pos", "__k").join(firsts.select("__k", F.col("pos").alias("__f")), "__k").join(vec.withColumnRenamed("pos", "__f"), "__f").select("pos", "vec")
         spans = {r["cluster"]: r for r in cluster_stats(members, all_vec).collect()}
         groups: dict[int, list] = {}

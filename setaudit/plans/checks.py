@@ -168,14 +168,14 @@ def dup_pairs(spark, sf):
 
 @query(_CLUSTERS + "SELECT n AS vec_id, cluster FROM c")
 def dup_clusters(spark, sf):
-    return dup.components(dup.compare(_vectors(spark, sf), 0.4)[0]).withColumnRenamed("pos", "vec_id")
+    return dup.components(dup.links(_vectors(spark, sf), 0.4)[0]).withColumnRenamed("pos", "vec_id")
 
 
 @query(_CLUSTERS + f"""SELECT x.cluster AS cluster, (SELECT count(*) FROM c z WHERE z.cluster = x.cluster) AS n_cases, round(min({_SIM}), 4) AS min_sim, round(max({_SIM}), 4) AS max_sim
 FROM c x JOIN c y ON x.cluster = y.cluster AND x.n < y.n JOIN embeddings a ON a.vec_id = x.n JOIN embeddings b ON b.vec_id = y.n GROUP BY x.cluster""")
 def dup_cluster_stats(spark, sf):
     vectors = _vectors(spark, sf)
-    stats = dup.cluster_stats(dup.components(dup.compare(vectors, 0.4)[0]), vectors)
+    stats = dup.cluster_stats(dup.components(dup.links(vectors, 0.4)[0]), vectors)
     return stats.select("cluster", "n_cases", F.round("min_sim", 4).alias("min_sim"), F.round("max_sim", 4).alias("max_sim"))
 
 
